@@ -159,3 +159,54 @@ def windows_of(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     np.cumsum(h * pw[: len(h)], out=cs[1:])
     at = np.flatnonzero(doc[:k] == doc[n - 1 :])
     return at, mix((cs[at + n] - cs[at]) * ipw[at])
+
+
+def parts_for(df: DataFrame, each: int = 32 << 20) -> int:
+    """Shuffle partitions for a text table: the session's number, or more if its scan is large."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    own = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return own if size > 1 << 56 else max(own, size // each)  # a table of unknown size is said to be endless
+
+
+def bucketed(df: DataFrame, key: str, n: int, name: str) -> DataFrame:
+    """Write to a table in the shared warehouse, bucketed by key: later joins on key don't shuffle it again."""
+    spark = df.sparkSession
+    table = f"strandwise_{name}_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.bucketBy(n, key).saveAsTable(table, format="parquet")
+    return spark.table(table)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps now, not when the driver next collects garbage."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def pieces(off: np.ndarray, most: int, overlap: int) -> Iterator[tuple[int, int, int, int]]:
+    """(first row, end row, first byte, end byte) of chunks; a text longer than 8 x most comes in overlapping pieces."""
+    for lo, hi in chunks(off, most):
+        a, b = int(off[lo]), int(off[hi])
+        if hi - lo == 1 and b - a > 8 * most:
+            while b - a > 8 * most:
+                yield lo, hi, a, a + 8 * most
+                a += 8 * most - overlap
+        yield lo, hi, a, b
+
+
+def pack_by(bucket: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Rows of a structured array by bucket, each bucket's rows as one binary value."""
+    order = np.argsort(bucket, kind="stable")
+    rows, bucket = rows[order], bucket[order]
+    cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(rows) else np.zeros(1, np.int64)
+    for a, b in zip(cut, cut[1:], strict=False):
+        yield int(bucket[a]), rows[a:b].tobytes()
+
+
+def same_as_before(*keys: np.ndarray) -> np.ndarray:
+    """For sorted keys: whether each row's key equals that of the row before."""
+    out = np.zeros(len(keys[0]), bool)
+    if len(out) > 1:
+        out[1:] = np.logical_and.reduce([k[1:] == k[:-1] for k in keys])
+    return out
