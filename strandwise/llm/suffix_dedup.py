@@ -31,7 +31,7 @@ ANCHOR = 51
 WIDE = 256
 _P2 = 0xA0761D6478BD642F
 _BITS = 24
-_FLUSH = 1_500_000
+_FLUSH = 600_000
 #: Rows that share an id are told apart by the high bits of a position.
 _ROW_SHIFT = 40
 
@@ -206,7 +206,7 @@ def _contexts(batches, depth, n):
             x["s"], x["n"], x["rel"] = s + start[c.doc[keep]], e - s, rel
             held.append(x)
             size += len(x)
-        if size > _FLUSH // 2:
+        if size > _FLUSH:
             yield from _blobs(flush())
             held, size = [], 0
     if held:
@@ -278,7 +278,7 @@ def _windows(batches, depth, n):
                 x["id"], x["s"] = np.repeat(m["id"][hot], times), first + np.repeat(start[r[hot]], times)
                 wide.append(x)
                 size += 32 * len(x)
-        if size > 32 << 20:
+        if size > 16 << 20:
             yield from _blobs(flush())
             held, wide, size = [], [], 0
     yield from _blobs(flush())
@@ -352,7 +352,7 @@ def _compare(batches, depth):
         edges = np.flatnonzero(np.r_[~same_as_before(meta["h"]), True])
         lo = 0
         while lo < len(edges) - 1:
-            hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + 20_000, side="right")) - 1)
+            hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + 8_000, side="right")) - 1)
             m, b = meta[edges[lo] : edges[hi]], base[edges[lo] : edges[hi]]
             times = m["n"] - depth + 1
             inner = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
