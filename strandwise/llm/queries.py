@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, sharding, suffix_dedup, token_counts
+from . import decontaminate, near_dedup, packing, sharding, suffix_dedup, token_counts
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_t(spark, sf_dir, "documents"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_t(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "benchmark"))
 
@@ -36,7 +40,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_token_counts, op4_suffix_dedup, op8_decontamination, op9_packing, op10_sharding)}
+    return {f.__name__: f for f in (op3_token_counts, op4_suffix_dedup, op7_near_duplicates, op8_decontamination, op9_packing, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
