@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_dedup, packing, sharding, suffix_dedup, token_counts
+from . import decontaminate, near_dedup, packing, sharding, suffix_dedup, token_counts, toxicity
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_counts.token_counts(_t(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return out.withColumn("over_limit", F.col("n_tokens") > 1024)
@@ -40,7 +44,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_token_counts, op4_suffix_dedup, op7_near_duplicates, op8_decontamination, op9_packing, op10_sharding)}
+    return {f.__name__: f for f in (op2_toxicity, op3_token_counts, op4_suffix_dedup, op7_near_duplicates, op8_decontamination, op9_packing, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
