@@ -6,13 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_dedup, packing, sharding, suffix_dedup, token_counts, toxicity
+from . import decontaminate, html_text, lm_scoring, near_dedup, packing, sharding, suffix_dedup, token_counts, toxicity, webp
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = _t(spark, sf_dir, "labels").where("quality = 1")
+    return lm_scoring.cross_entropy_difference(_t(spark, sf_dir, "documents"), good)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels"))
 
@@ -26,6 +31,14 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_t(spark, sf_dir, "documents"))
 
 
+def op5_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.media_columns(_t(spark, sf_dir, "documents"))
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(_t(spark, sf_dir, "pages"))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_t(spark, sf_dir, "documents"))
 
@@ -44,7 +57,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_toxicity, op3_token_counts, op4_suffix_dedup, op7_near_duplicates, op8_decontamination, op9_packing, op10_sharding)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_toxicity, op3_token_counts, op4_suffix_dedup, op5_lossless_webp, op6_html_text, op7_near_duplicates, op8_decontamination, op9_packing, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
