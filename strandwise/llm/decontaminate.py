@@ -152,9 +152,20 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col:
     return hits.mapInArrow(_cut, f"rid {rid}, text string").select(F.col("rid").alias(id_col), F.col("text").alias(text_col))
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of the rows that have no hit. Repeated ids with different texts are judged each by its text."""
-    flagged = docs.withColumn("__rid", F.struct(F.col(id_col).alias("a"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("b")))
-    bad = find_hits(flagged, benchmark, width, "__rid", text_col).where(F.size("word_spans") > 0).select("rid").distinct()
-    on = F.col("__rid.a").eqNullSafe(F.col("rid.a")) & (F.col("__rid.b") == F.col("rid.b"))
-    return flagged.join(bad, on, "left_anti").drop("__rid")
+def _drop(batches, sets):
+    for batch in batches:
+        n = batch.num_rows
+        probe = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), batch.column("text")], ["rid", "text"])
+        keep = [not s for out in _scan([probe], sets, False) for s in out.column("word_spans").to_pylist()]
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, width: int = 10, set_bytes: int = SET_BYTES) -> DataFrame:
+    """All columns of the rows that have no hit, in place: no join and no shuffle. docs has a column `text`."""
+    spark = docs.sparkSession
+    ship(spark)
+    out = docs
+    for rows in benchmark_slices(benchmark, set_bytes=set_bytes):
+        sets = spark.sparkContext.broadcast(_item_windows(rows, width))
+        out = out.mapInArrow(lambda it, sets=sets: _drop(it, sets), docs.schema)
+    return out

@@ -212,7 +212,7 @@ class BiLSTM:
             g["x" + d] = np.tensordot(x, dz, ((0, 1), (0, 1)))
         return g
 
-    def fit(self, pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 14, batch: int = 32, rate: float = 0.01, seed: int = 6):
+    def fit(self, pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = 18, batch: int = 32, rate: float = 0.01, seed: int = 6):
         rng = np.random.default_rng(seed)
         first, second = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
         step = 0
@@ -261,7 +261,7 @@ def composed(texts: list[str], rng: np.random.Generator, n: int) -> list[tuple[l
     out = []
     for _ in range(n):
         blocks: list = []
-        bare = rng.random() < 0.1
+        bare = rng.random() < 0.05
         root = () if bare else ("html", "body") + one((), ("div", "wrapper"), ("div", "page", "container"), ("div",))
 
         def add(path, label, lo, hi, link=0.0, root=root, blocks=blocks):
@@ -321,7 +321,7 @@ def composed(texts: list[str], rng: np.random.Generator, n: int) -> list[tuple[l
     return out
 
 
-def train(pages: list[str], made: int = 700, seed: int = 7) -> BiLSTM:
+def train(pages: list[str], made: int = 900, seed: int = 7) -> BiLSTM:
     """Fit on sampled pages and on composed ones."""
     rng = np.random.default_rng(seed)
     read = [b for b in map(leaf_blocks, pages) if b]
