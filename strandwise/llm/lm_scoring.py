@@ -114,7 +114,8 @@ def cross_entropy_difference(docs: DataFrame, good: DataFrame, id_col: str = "do
     got = rows.select("text").mapInArrow(_byte_counts, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()
     table = spark.sparkContext.broadcast(symbols({r[0]: r[1] for r in got}))
     marks = good.select(F.col(id_col).alias("gid")).where(F.col("gid").isNotNull()).distinct().withColumn("good", F.lit(True))
-    marked = rows.join(marks, F.col("rid") == F.col("gid"), "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+    # Labels grow with the corpus, so they are never broadcast: texts move once, at every size.
+    marked = rows.join(marks.hint("shuffle_hash"), F.col("rid") == F.col("gid"), "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
     counted = marked.mapInArrow(lambda it: _count(it, table, VOCAB, ORDER), "code int, target long, background long")
     t = counted.groupBy("code").agg(F.sum("target").alias("target"), F.sum("background").alias("background")).toArrow()
     code, target, background = (t.column(c).to_numpy().astype(np.int64) for c in ("code", "target", "background"))
