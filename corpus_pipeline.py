@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandwise.llm import decontaminate, near_dedup, packing, suffix_dedup, toxicity
-from strandwise.llm.common import scratch
+from strandwise.llm.common import clear_scratch, scratch_root
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.5; the machine is trained on labelled rows of its input."""
+    clear_scratch(spark)  # the stage before has been written
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(*toxicity.labelled(docs, labels))
     return toxicity.keep_clean(docs.select(*COLUMNS), model)
@@ -21,12 +24,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies, the one with the smallest id."""
+    clear_scratch(spark)  # the stage before has been written
     out = near_dedup.near_duplicates(docs, carry=COLUMNS[1:])
     return out.where("keep").select("doc_id", *[F.col(f"carry_{c}").alias(c) for c in COLUMNS[1:]])
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes of strings of 100 that start earlier; those of which nothing is left go."""
+    clear_scratch(spark)  # the stage before has been written
     out = suffix_dedup.remove_repeats(docs, with_text=True, carry=["lang", "source"])
     # A text that was empty before stays; one that lost all of its bytes doesn't.
     out = out.where("n_removed = 0 OR length(trim(kept)) > 0")
@@ -35,11 +40,13 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark window occurs."""
+    clear_scratch(spark)  # the stage before has been written
     return decontaminate.keep_clean(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 4096 tokens."""
+    clear_scratch(spark)  # the stage before has been written
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -59,5 +66,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and read again; the last one's rows are returned."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = scratch(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = f"{scratch_root(spark)}/pipeline-{uuid.uuid4().hex}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

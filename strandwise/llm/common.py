@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Bytes of text handled at once by the numpy kernels (their temporaries are 8 to 40 times that).
 CHUNK_BYTES = 1 << 20
 _SHIPPED: set[str] = set()
+#: Scratch tables of this session that clear_scratch() may delete: (folder, or None, and table name).
+_MADE: list[tuple[str | None, str]] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -52,16 +54,32 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
+    _MADE.append((None, path))
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def drop_scratch(df: DataFrame) -> None:
     """Delete a scratch table that nothing will read again."""
     path = getattr(df, "_scratch_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, path)
+        _MADE.remove((None, path))
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all scratch tables made so far. Call it when earlier results have been written elsewhere."""
+    while _MADE:
+        table, path = _MADE.pop()
+        if table:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        else:
+            _delete(spark, path)
+    release(spark)
 
 
 def buffers(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,6 +191,7 @@ def bucketed(df: DataFrame, key: str, n: int, name: str) -> DataFrame:
     spark = df.sparkSession
     table = f"strandwise_{name}_{uuid.uuid4().hex}"
     df.repartition(n, key).write.bucketBy(n, key).saveAsTable(table, format="parquet")
+    _MADE.append((table, ""))
     return spark.table(table)
 
 
@@ -195,6 +214,17 @@ def pieces(off: np.ndarray, most: int, overlap: int) -> Iterator[tuple[int, int,
         yield lo, hi, a, b
 
 
+_KEPT: dict = {}
+
+
+def kept(key, make):
+    """An object that a Python worker keeps between its tasks (a vocabulary, a model, a cache): one at a time."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def pack_by(bucket: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """Rows of a structured array by bucket, each bucket's rows as one binary value."""
     order = np.argsort(bucket, kind="stable")

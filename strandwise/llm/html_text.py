@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, chunks, ship, words_of
+from .common import buffers, chunks, kept, ship, words_of
 
 PATH, WORDS, HIDDEN = 96, 32, 20
 _TAG = re.compile(r"<(?:!--.*?(?:-->|$)|(script|style|template|noscript|iframe|svg|textarea)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)|([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|/([a-zA-Z][a-zA-Z0-9:-]*)[^>]*>|[!?][^>]*>)", re.S | re.I)
@@ -30,7 +30,6 @@ CLOSES_P = frozenset("address article aside blockquote details div dl fieldset f
 #: Names that mark what is not the article; the teacher's rule and the composed pages use them.
 BOILER = frozenset("nav header footer aside form menu navbar navigation sidebar ad ads advert advertisement banner sponsor promo cookie notice consent alert newsletter subscribe signup login search comments comment respond reply replies related share social breadcrumb pagination pager widget toolbar copyright head title button select option dialog popup modal".split())
 MAIN = frozenset("article main".split())
-_STATE: dict = {}
 
 
 def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
@@ -359,7 +358,7 @@ def extract(pages: list[str], net: BiLSTM, cache: dict) -> list[list[str]]:
 
 
 def _extract(batches, net):
-    cache = _STATE.setdefault("paths", {})
+    cache = kept("paths", dict)
     for batch in batches:
         col = batch.column("html")
         texts = []

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, buffers, chunks, mix, pack_by, parts_for, release, same_as_before, scratch, ship, windows_of, words_of
+from .common import bucketed, buffers, chunks, drop_scratch, mix, pack_by, parts_for, release, same_as_before, scratch, ship, windows_of, words_of
 from .suffix_dedup import _blobs, _gather
 
 #: Bands times rows: a pair at similarity 0.8 shares no band with probability (1 - 0.8 ** 5) ** 26 < 4e-5.
@@ -243,9 +243,16 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5, id_col:
     release(spark)
     roots = components(links)
 
-    member = table.select("u", "id", "same", *[f"carry_{c}" for c in carry]).join(lead, "same", "left")
+    member = table.select("u", "id", "same").join(lead, "same", "left")
     member = member.join(roots.select(F.col("u").alias("rep"), "root"), "rep", "left")
     member = member.withColumn("root", F.coalesce("root", "rep", "u"))
     best = member.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "u")).alias("best"))
-    out = member.join(best, "root")
-    return out.select(F.col("id").alias(id_col), F.col("best.id").alias("class_id"), (F.col("u") == F.col("best.u")).alias("keep"), *[F.col(f"carry_{c}") for c in carry])
+    member = member.join(best, "root").select("u", "id", F.col("best.id").alias("class_id"), (F.col("u") == F.col("best.u")).alias("keep"))
+    if carry:
+        # Decisions move to the texts' buckets; the texts stay where they are.
+        member = scratch(member, "classes")
+        for t in (lead, signed, pairs, links):
+            drop_scratch(t)
+        release(spark)
+        member = table.select("u", *[f"carry_{c}" for c in carry]).join(member.hint("shuffle_hash"), "u")
+    return member.select(F.col("id").alias(id_col), "class_id", "keep", *[F.col(f"carry_{c}") for c in carry])

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, buffers, chunks, ship
+from .common import CHUNK_BYTES, buffers, chunks, kept, ship
 
 #: Words of the word tokenizer: its splitting pattern, stated as in its file.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -23,7 +23,6 @@ WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]
 _L, _N, _S = "a-zA-ZªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", r"\t-\r \x85\xa0"
 WORDS_LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
 SPECIAL = regex.compile(r"<\|startoftext\|>|<\|endoftext\|>")
-_STATE: dict = {}
 
 
 def spell(ids: list[int]) -> bytes:
@@ -38,7 +37,7 @@ class WordIds(dict):
     becomes the old one, and words used again move back.
     """
 
-    MOST = 500_000
+    MOST = 350_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -214,13 +213,13 @@ _OUT = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "
 
 
 def _pack(batches, path, end_id, capacity, pool):
-    words = _STATE.get(path) or _STATE.setdefault(path, WordIds(path))
+    words = kept(("words", path), lambda: WordIds(path))
     end = spell([end_id])
 
     def rows():
         for batch in batches:
             keys, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            for lo, hi in chunks(buffers(texts)[1], 4 * CHUNK_BYTES):
+            for lo, hi in chunks(buffers(texts)[1], 2 * CHUNK_BYTES):
                 for key, ids in zip(keys[lo:hi], words.ids([t or "" for t in texts[lo:hi].to_pylist()]), strict=True):
                     yield key, ids + end
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import P_BYTE, bucketed, buffers, mix, pack_by, parts_for, pieces, powers, release, same_as_before, scratch, ship
+from .common import P_BYTE, bucketed, buffers, drop_scratch, mix, pack_by, parts_for, pieces, powers, release, same_as_before, scratch, ship
 
 ANCHOR = 51
 #: Contexts of one anchor string up to which they are compared in one task; beyond, window hashes are exchanged.
@@ -370,7 +370,7 @@ def _compare(batches, depth):
     yield from _spans(ids, s, s + depth)
 
 
-def _result(batches, with_text):
+def _result(batches, with_text, carry):
     for batch in batches:
         raw, off = buffers(batch.column("text"))
         col = _lists(batch, "spans")
@@ -402,8 +402,8 @@ def _result(batches, with_text):
             sha.append(hashlib.sha256(data).hexdigest())
             kept.append(data.decode("utf-8", "ignore") if with_text else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), batch.column("j"), pa.array(np.diff(off)), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha), pa.array(kept, pa.string())],
-            ["id", "j", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
+            [batch.column("id"), *(batch.column(c) for c in carry), pa.array(np.diff(off)), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(sha), pa.array(kept, pa.string())],
+            ["id", *carry, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
         )
 
 
@@ -459,9 +459,11 @@ def remove_repeats(docs: DataFrame, depth: int = 100, id_col: str = "doc_id", te
     by_doc = scratch(spans.groupBy("id").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
     release(spark)
 
-    both = beside(by_doc, "left").select("id", "j", "text", F.coalesce("spans", F.expr("array_remove(array(named_struct('s', 0L, 'e', 0L)), named_struct('s', 0L, 'e', 0L))")).alias("spans"))
-    out = both.mapInArrow(lambda it: _result(it, with_text), "id long, j int, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
-    if carry:
-        kept = texts.select("id", "j", *[F.col(f"carry_{c}") for c in carry])
-        out = out.join(kept, ["id", "j"])
+    for t in (places, found):
+        drop_scratch(t)
+    names = [f"carry_{c}" for c in carry]
+    no_span = F.expr("array_remove(array(named_struct('s', 0L, 'e', 0L)), named_struct('s', 0L, 'e', 0L))")
+    both = texts.select("id", "j", "text", *names).join(by_doc.hint("shuffle_hash"), "id", "left").withColumn("spans", F.coalesce("spans", no_span))
+    schema = "".join(f"{c} {t}, " for c, t in both.dtypes if c == "id" or c in names)
+    out = both.select("id", "j", "text", "spans", *names).mapInArrow(lambda it: _result(it, with_text, names), schema + "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
     return out.select(F.when(F.col("id") != _NULL_ID, F.col("id")).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else []), *[F.col(f"carry_{c}") for c in carry])

@@ -10,7 +10,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import kept, ship
 
 #: Pieces of the byte-level tokenizer: its splitting pattern, stated as in its library.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -18,7 +18,6 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p
 _L, _N, _S = "a-zA-ZªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", r"\t-\r \x85\xa0"
 PIECES_LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 SPECIAL = "<|endoftext|>"
-_STATE: dict = {}
 
 
 def byte_letters() -> dict[str, int]:
@@ -142,7 +141,7 @@ class PrefixCounter(dict):
 
 
 def counter(path: str) -> PrefixCounter:
-    return _STATE.get(path) or _STATE.setdefault(path, PrefixCounter(path))
+    return kept(("prefixes", path), lambda: PrefixCounter(path))
 
 
 def _count(batches, path, with_table):

@@ -11,6 +11,7 @@ the hinge loss of each labelled text is taken at its highest unit. A logistic fi
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections import Counter
 from functools import cache
@@ -20,14 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, buffers, chunks, ship
+from .common import CHUNK_BYTES, buffers, chunks, kept, ship
 
 ORDER, DECAY, LANDMARKS = 4, 0.9, 16
 #: Longest unit that is compared whole; longer ones are compared in overlapping parts.
 UNIT = 24
 _SPACED = re.compile(r"(?<!\S)\S(?:[ .\-_*]\S){2,}(?!\S)")
 _EDGE = " \t\r\n.,;:!?\"'()[]{}<>|/\\*_-~`#$%^&+=…„“”«»¡¿"
-_STATE: dict = {}
 
 
 def tokens(text: str) -> set[str]:
@@ -240,7 +240,7 @@ def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, round
 class Scorer:
     """Scores texts; margins of tokens are kept, in two generations of bounded size."""
 
-    MOST = 400_000
+    MOST = 250_000
 
     def __init__(self, model: Model):
         self.model, self.young, self.old = model, {}, {}
@@ -271,19 +271,16 @@ class Scorer:
 
 
 def _score(batches, model, key):
-    scorer = _STATE.get(key)
-    if scorer is None:
-        _STATE.clear()
-        scorer = _STATE[key] = Scorer(model.value)
+    scorer = kept(key, lambda: Scorer(model.value))
     for batch in batches:
         col = batch.column("text")
         out = []
-        for lo, hi in chunks(buffers(col)[1], 4 * CHUNK_BYTES):
+        for lo, hi in chunks(buffers(col)[1], 2 * CHUNK_BYTES):
             out.append(scorer.scores([t or "" for t in col[lo:hi].to_pylist()]))
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "text"), pa.array(np.concatenate(out) if out else [], pa.float64())], [*(c for c in batch.schema.names if c != "text"), "score"])
 
 
-def labelled(docs: DataFrame, labels: DataFrame, most: int = 5000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list[str], list[int]]:
+def labelled(docs: DataFrame, labels: DataFrame, most: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list[str], list[int]]:
     """At most `most` labelled training texts (a fixed pseudo-random choice), outside the held-out fifth."""
     kept = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("k").isNotNull() & ~held_out("k"))
     kept = kept.orderBy(F.xxhash64("k"), "k", "y").limit(most)
@@ -305,13 +302,13 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     spark = docs.sparkSession
     ship(spark)
     sent = spark.sparkContext.broadcast(model)
-    key = (spark.sparkContext.applicationId, id(sent))
+    key = ("toxicity", uuid.uuid4().hex)
     kind = docs.select(F.col(id_col)).dtypes[0][1]
     rows = docs.select(F.col(id_col).alias("rid"), F.col(text_col).alias("text"))
     return rows.mapInArrow(lambda it: _score(it, sent, key), f"rid {kind}, score double").withColumnRenamed("rid", id_col)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, most: int = 5000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, most: int = 4000) -> DataFrame:
     """doc_id, held_out, score, predicted (the contract of op2)."""
     model = train(*labelled(docs, labels, most))
     out = score_documents(docs, model)
@@ -319,13 +316,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, most: int = 5000) -> DataFrame:
 
 
 def _reject(batches, model, key):
-    scorer = _STATE.get(key)
-    if scorer is None:
-        _STATE.clear()
-        scorer = _STATE[key] = Scorer(model.value)
+    scorer = kept(key, lambda: Scorer(model.value))
     for batch in batches:
         col = batch.column("text")
-        keep = [scorer.scores([t or "" for t in col[lo:hi].to_pylist()]) < 0.5 for lo, hi in chunks(buffers(col)[1], 4 * CHUNK_BYTES)]
+        keep = [scorer.scores([t or "" for t in col[lo:hi].to_pylist()]) < 0.5 for lo, hi in chunks(buffers(col)[1], 2 * CHUNK_BYTES)]
         yield batch.filter(pa.array(np.concatenate(keep) if keep else [], pa.bool_()))
 
 
@@ -334,5 +328,5 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     sent = spark.sparkContext.broadcast(model)
-    key = (spark.sparkContext.applicationId, id(sent))
+    key = ("toxicity", uuid.uuid4().hex)
     return docs.mapInArrow(lambda it: _reject(it, sent, key), docs.schema)
