@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -221,10 +222,23 @@ def kept(key, make):
     """An object that a Python worker keeps between its tasks (a vocabulary, a model, a cache): one at a time."""
     if key not in _KEPT:
         _KEPT.clear()
+        trim()
         _KEPT[key] = make()
     return _KEPT[key]
 
 
+def trim() -> None:
+    """Give a Python worker's free memory back: it lives on after its task, beside other operators' tasks."""
+    import ctypes
+    import gc
+
+    _POWERS.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def pack_by(bucket: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """Rows of a structured array by bucket, each bucket's rows as one binary value."""
     order = np.argsort(bucket, kind="stable")

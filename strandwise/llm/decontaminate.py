@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, chunks, ship, windows_of, words_of
+from .common import buffers, chunks, ship, trim, windows_of, words_of
 
 #: Bytes of benchmark text in one hash set; a larger benchmark is scanned in several passes.
 SET_BYTES = 32 << 20
@@ -51,6 +51,7 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _scan(batches, sets, carry):
     """Adds to each row the word and byte spans hit and the items found."""
+    trim()
     sets = sets.value
     for batch in batches:
         raw, off = buffers(batch.column("text"))
@@ -153,6 +154,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col:
 
 
 def _drop(batches, sets):
+    trim()
     for batch in batches:
         n = batch.num_rows
         probe = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), batch.column("text")], ["rid", "text"])

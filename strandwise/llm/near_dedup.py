@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, buffers, chunks, drop_scratch, mix, pack_by, parts_for, release, same_as_before, scratch, ship, windows_of, words_of
+from .common import bucketed, buffers, chunks, drop_scratch, mix, pack_by, parts_for, release, same_as_before, scratch, ship, trim, windows_of, words_of
 from .suffix_dedup import _blobs, _gather
 
 #: Bands times rows: a pair at similarity 0.8 shares no band with probability (1 - 0.8 ** 5) ** 26 < 4e-5.
@@ -90,6 +90,7 @@ def bag_minhash(doc: np.ndarray, h: np.ndarray, count: np.ndarray, n: int, m: in
 
 
 def _signatures(batches, width, bands, rows):
+    trim()
     for batch in batches:
         raw, off = buffers(batch.column("text"))
         u = batch.column("u").to_numpy()
@@ -122,6 +123,7 @@ def _edges(x):
 
 
 def _local(batches, bands, n):
+    trim()
     held, size = [], 0
 
     def flush():
@@ -137,7 +139,7 @@ def _local(batches, bands, n):
         x["u"] = np.repeat(batch.column("u").to_numpy(), bands)
         held.append(x)
         size += len(x)
-        if size > 1_000_000:
+        if size > 500_000:
             yield from _blobs(flush())
             held, size = [], 0
     if held:
@@ -175,6 +177,7 @@ def similarities(raw_a, off_a, raw_b, off_b, width: int) -> np.ndarray:
 
 
 def _verify(batches, width, least):
+    trim()
     for batch in batches:
         (ra, oa), (rb, ob) = buffers(batch.column("text")), buffers(batch.column("text_v"))
         ok = np.zeros(batch.num_rows, bool)

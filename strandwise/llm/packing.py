@@ -37,7 +37,7 @@ class WordIds(dict):
     becomes the old one, and words used again move back.
     """
 
-    MOST = 350_000
+    MOST = 200_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer

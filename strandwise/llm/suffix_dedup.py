@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import P_BYTE, bucketed, buffers, drop_scratch, mix, pack_by, parts_for, pieces, powers, release, same_as_before, scratch, ship
+from .common import P_BYTE, bucketed, buffers, drop_scratch, mix, pack_by, parts_for, pieces, powers, release, same_as_before, scratch, ship, trim
 
 ANCHOR = 51
 #: Contexts of one anchor string up to which they are compared in one task; beyond, window hashes are exchanged.
@@ -123,6 +123,7 @@ def _gather(batches, kinds):
 
 
 def _anchors(batches, depth, n):
+    trim()
     held, size = [], 0
 
     def flush():
@@ -173,6 +174,7 @@ def _lists(batch, name):
 
 
 def _contexts(batches, depth, n):
+    trim()
     held, size = [], 0
 
     def flush():
@@ -225,6 +227,7 @@ def _first_contexts(batches):
 
 def _windows(batches, depth, n):
     """Bytes of first contexts (by anchor), and window hashes of those of very frequent anchors."""
+    trim()
     held, wide, size = [], [], 0
 
     def flush():
@@ -332,6 +335,7 @@ def _spans(ids, s, e):
 
 
 def _compare(batches, depth):
+    trim()
     got = _gather(batches, {0: None, 1: _W, 2: _W})
     ids, s = [got[2]["id"]], [got[2]["s"]]
     x = got[1][np.lexsort((got[1]["s"], got[1]["id"], got[1]["w2"], got[1]["w1"]))]
@@ -371,6 +375,7 @@ def _compare(batches, depth):
 
 
 def _result(batches, with_text, carry):
+    trim()
     for batch in batches:
         raw, off = buffers(batch.column("text"))
         col = _lists(batch, "spans")

@@ -240,7 +240,7 @@ def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, round
 class Scorer:
     """Scores texts; margins of tokens are kept, in two generations of bounded size."""
 
-    MOST = 250_000
+    MOST = 150_000
 
     def __init__(self, model: Model):
         self.model, self.young, self.old = model, {}, {}
