@@ -1,15 +1,87 @@
-"""Registered queries and their SQL equivalents."""
+"""Registered queries of the catalogue engine and their SQL equivalents."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import rank, resolve
+from ..sources.books import BOOKS_SQL, demo_books
+from .sql import Dialect, plans
+
+
+def _views(spark: SparkSession, sf_dir: str) -> None:
+    demo_books(spark, sf_dir).createOrReplaceTempView("books")
+    for t in ("embeddings", "orders", "customer", "lineitem"):
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+
+
+def _sql(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        _views(spark, sf_dir)
+        return spark.sql(plans(Dialect(True))[name])
+
+    run.__name__ = name
+    return run
+
+
+def text_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = demo_books(spark, sf_dir)
+    return b.select("book_id", F.md5(T.collapse_ws(F.col("title"))).alias("title_h"), F.md5(T.collapse_ws(F.col("description"))).alias("desc_h"), T.placeholder_url(F.col("image_url")).alias("placeholder"))
+
+
+def entity_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resolve.consolidate(demo_books(spark, sf_dir))
+    return out.select("book_id", "authors", F.round("average_rating", 6).alias("average_rating"), F.col("merged_rows"))
+
+
+def clean_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.clean_books(demo_books(spark, sf_dir))
+
+
+def caps_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = _sql("fused_topk_deep")(spark, sf_dir)
+    b = demo_books(spark, sf_dir).select(F.col("book_id").alias("cand"), F.element_at(T.author_list(F.col("authors")), 1).alias("author"), F.md5("description").alias("desc_hash"))
+    return rank.enforce_caps(top.select("seed", F.col("rk").alias("rank"), "cand").join(b, "cand"))
+
+
+def mmr_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _views(spark, sf_dir)
+    rel = spark.sql(plans(Dialect(True))["fused_all"]).select("seed", "cand", F.col("fused").alias("rel"))
+    return rank.mmr(rel, spark.table("embeddings").select(F.col("vec_id").alias("cand"), F.col("embedding").alias("v")), k=5)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries()["fused_topk"](spark, sf_dir)
 
 
-def queries() -> dict:
-    return {}
+_OWN = (text_normalise, entity_resolution, clean_books, caps_greedy, mmr_rerank)
+_HIDDEN = ("fused_all", "fused_topk_deep")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    out = {name: _sql(name) for name in plans(Dialect(True)) if name not in _HIDDEN}
+    return out | {f.__name__: f for f in _OWN}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    d = Dialect(False)
+    out = {}
+    for name, sql in plans(d).items():
+        if name not in _HIDDEN:
+            out[name] = f"WITH {BOOKS_SQL}, {sql[5:]}" if sql.startswith("WITH ") else f"WITH {BOOKS_SQL} {sql}"
+    ws = "[\\s\\p{Z}\\x0B\\x1C-\\x1F\\x85]+"
+    squash = lambda c: f"trim(regexp_replace({c}, '{ws}', ' ', 'g'))"
+    out["text_normalise"] = f"WITH {BOOKS_SQL} SELECT book_id, md5({squash('title')}) AS title_h, md5({squash('description')}) AS desc_h, lower(image_url) LIKE '%nophoto%' AS placeholder FROM books"
+    key = "trim(regexp_replace(regexp_replace(lower(title), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+    out["entity_resolution"] = f"""WITH RECURSIVE {BOOKS_SQL}, k AS (SELECT book_id, {key} AS k, unnest(list_filter(list_transform(string_split(authors, ','), lambda x: lower(trim(x))), lambda x: x <> '')) AS author FROM books),
+        star AS (SELECT k.book_id AS a, m.b FROM k JOIN (SELECT k, author, min(book_id) AS b FROM k GROUP BY k, author) m ON k.k = m.k AND k.author = m.author),
+        e AS (SELECT a, b FROM star UNION SELECT b, a FROM star), reach AS (SELECT book_id AS v, book_id AS r FROM books UNION SELECT e.a, reach.r FROM reach JOIN e ON e.b = reach.v WHERE reach.r < e.a),
+        root AS (SELECT v AS book_id, min(r) AS root FROM reach GROUP BY v), g AS (SELECT root, count(*) AS n, avg(average_rating) AS r FROM books JOIN root USING (book_id) GROUP BY root),
+        rep AS (SELECT root, book_id, authors, row_number() OVER (PARTITION BY root ORDER BY original_publication_year NULLS LAST, book_id) AS i FROM books JOIN root USING (book_id)),
+        al AS (SELECT root, string_agg(DISTINCT author, ', ' ORDER BY author) AS merged FROM k JOIN root USING (book_id) GROUP BY root)
+        SELECT rep.book_id, CASE WHEN n > 1 THEN merged ELSE authors END AS authors, round(r, 6) AS average_rating, n AS merged_rows FROM rep JOIN g ON rep.root = g.root JOIN al ON al.root = g.root WHERE i = 1"""
+    return out

@@ -1,0 +1,238 @@
+"""Plans as SQL, written once for two dialects: Spark runs them over views, the checks run them in DuckDB."""
+
+from __future__ import annotations
+
+from ..functions.stopwords import ENGLISH, STRICT
+
+# Coarse genres in order of priority, with the texts that mark them.
+TAXONOMY = [
+    ("fantasy", ["fantasy", "dragons", "magic", "mythical creatures"]),
+    ("romance", ["romance", "love stories"]),
+    ("mystery_thriller", ["mystery", "thriller", "crime", "detective", "suspense", "whodunit", "roman policier"]),
+    ("scifi", ["science fiction", "sci-fi", "space opera", "dystopia", "post-apocalyptic fiction"]),
+    ("horror", ["horror", "ghost stories", "zombies"]),
+    ("adventure", ["adventure", "action", "quests", "exploration"]),
+    ("fiction", ["fiction"]),
+    ("historical", ["historical", "period drama"]),
+    ("biography", ["biography", "memoir"]),
+    ("self_help", ["self-help", "personal development", "self-improvement", "motivational"]),
+    ("poetry", ["poetry", "poems", "verse"]),
+    ("graphic_novel", ["graphic novel", "comics", "manga", "illustrated books"]),
+    ("nonfiction", ["nonfiction", "history", "essays", "comic books, strips, etc., history and criticism"]),
+    ("ya", ["young adult", "ya"]),
+    ("children", ["children", "kids", "middle grade", "picture book", "juvenile literature"]),
+    ("classics", ["classics", "classic"]),
+    ("dystopian", ["post-apocalyptic", "future", "totalitarianism"]),
+    ("social_issues", ["social issues", "race relations", "gender roles", "class differences", "interracial marriage", "social themes"]),
+    ("war_military", ["war", "military", "award:newbery_award"]),
+    ("health", ["nutrition", "birth control", "diet fads", "feeding behavior", "natural foods"]),
+    ("translations", ["tłumaczenia polskie", "roman anglais", "powieść autobiograficzna amerykańska"]),
+]
+#: Genre names given to the clusters of the demonstration table.
+DEMO_GENRES = ["Epic Fantasy", "Space Opera, Dystopia", "Historical Romance", "War memoir", "Poems", "Cooking", "Young adult", "Crime", "Essays", "Manga"]
+
+
+class Dialect:
+    def __init__(self, spark: bool):
+        self.spark = spark
+        self.explode = "explode" if spark else "unnest"
+        self.size = "size" if spark else "len"
+
+    def rx(self, s: str) -> str:
+        return f"r'{s}'" if self.spark else f"'{s}'"
+
+    def replace(self, c: str, pattern: str, to: str = " ") -> str:
+        return f"regexp_replace({c}, {self.rx(pattern)}, '{to}')" if self.spark else f"regexp_replace({c}, '{pattern}', '{to}', 'g')"
+
+    def extract(self, c: str, pattern: str) -> str:
+        return f"regexp_extract_all({c}, {self.rx('(' + pattern + ')')}, 1)" if self.spark else f"regexp_extract_all({c}, '{pattern}')"
+
+    def fn(self, var: str, body: str) -> str:
+        return f"{var} -> {body}" if self.spark else f"lambda {var}: {body}"
+
+    def filter(self, a: str, var: str, body: str) -> str:
+        return f"{'filter' if self.spark else 'list_filter'}({a}, {self.fn(var, body)})"
+
+    def map(self, a: str, var: str, body: str) -> str:
+        return f"{'transform' if self.spark else 'list_transform'}({a}, {self.fn(var, body)})"
+
+    def array(self, items) -> str:
+        inner = ", ".join("'" + x.replace("'", "\\'" if self.spark else "''") + "'" for x in items)
+        return f"array({inner})" if self.spark else f"[{inner}]"
+
+    def has(self, a: str, x: str) -> str:
+        return f"{'array_contains' if self.spark else 'list_contains'}({a}, {x})"
+
+    def dot(self, a: str, b: str) -> str:
+        return f"aggregate(zip_with({a}, {b}, (x, y) -> CAST(x AS DOUBLE) * y), 0D, (s, x) -> s + x)" if self.spark else f"list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
+
+    def joined(self, x: str, distinct: bool = True) -> str:
+        """Sorted values as one text."""
+        if self.spark:
+            return f"array_join(array_sort(collect_{'set' if distinct else 'list'}({x})), '|')"
+        return f"coalesce(string_agg({'DISTINCT ' if distinct else ''}{x}, '|' ORDER BY {x}), '')"
+
+    def split(self, c: str, by: str) -> str:
+        return f"split({c}, '{by}')" if self.spark else f"string_split({c}, '{by}')"
+
+    def sequence(self, a: str, b: str) -> str:
+        return f"sequence({a}, {b})" if self.spark else f"generate_series({a}, {b})"
+
+
+def plans(d: Dialect) -> dict[str, str]:
+    """Named SELECT statements over the views books, embeddings, orders, customer, lineitem."""
+    tokens = d.extract("lower(description)", r"[\p{L}\p{Nl}\p{No}]+")
+    key = f"trim({d.replace(d.replace('lower(title)', '[^a-z0-9 ]'), ' +')})"
+    authors = d.filter(d.map(d.split("authors", ","), "x", "lower(trim(x))"), "x", "x <> ''")
+    fold = lambda c: f"trim({d.replace(d.replace(f'lower({c})', '[^a-z]+'), ' +')})"
+    order = lambda salt, c: f"md5('{salt}:' || CAST({c} AS STRING))"
+    out = {}
+    cols = ["title", "authors", "original_publication_year", "language_code", "average_rating", "image_url", "description"]
+    out["null_report"] = " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS total, count(*) - count({c}) AS nulls, round((count(*) - count({c})) / CAST(count(*) AS DOUBLE), 4) AS pct FROM books" for c in cols)
+    out["profile_numeric"] = " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count({c}) AS n, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, min({c}) AS low, median({c}) AS mid, max({c}) AS high, count(DISTINCT {c}) AS kinds FROM {t}"
+        for c, t in (("original_publication_year", "books"), ("average_rating", "books"), ("o_totalprice", "orders"), ("c_acctbal", "customer"))
+    )
+    out["value_counts_topk"] = "SELECT language_code, count(*) AS n FROM books GROUP BY language_code ORDER BY n DESC, language_code LIMIT 10"
+    out["unusual_chars"] = f"""SELECT ch, count(*) AS n FROM (SELECT {d.explode}({d.extract('description', "[^a-zA-Z0-9 .,:;!?" + ("\\'" if d.spark else "''") + r"()/&\-\[\]\n\t\r]")}) AS ch FROM books) t GROUP BY ch ORDER BY n DESC, ch LIMIT 30"""
+    if d.spark:
+        out["unusual_chars"] = out["unusual_chars"].replace("r'(", 'r"(').replace(r"\r])', 1)", r'\r])", 1)').replace("\\'", "'")
+    stop = d.array(ENGLISH)
+    out["vocab_size"] = f"SELECT count(DISTINCT tok) AS vocabulary FROM (SELECT {d.explode}({tokens}) AS tok FROM books) t WHERE length(tok) >= 2 AND NOT {d.has(stop, 'tok')}"
+    out["skew_kurt"] = """SELECT count(*) AS n, round(sum(z * z * z) / count(*), 6) AS skew, round(sum(z * z * z * z) / count(*) - 3, 6) AS kurt
+        FROM (SELECT (o_totalprice - m) / s AS z FROM orders CROSS JOIN (SELECT avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS s FROM orders) a) t"""
+    # The rank-weighted form needs no window over the whole table: values are ranked through their counts.
+    out["gini"] = """SELECT round((n + 1 - 2 * weighted / total) / n, 6) AS gini FROM (SELECT sum(c) AS n, sum(p * c) AS total, sum(p * (c * (n_all - below) - c * (c - 1) / CAST(2 AS DOUBLE))) AS weighted
+        FROM (SELECT p, c, sum(c) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - c AS below, sum(c) OVER () AS n_all FROM (SELECT l_quantity AS p, count(*) AS c FROM lineitem GROUP BY l_quantity) v) w) x"""
+    rank = lambda c: f"SELECT {c} AS v, sum(n) OVER (ORDER BY {c} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - (n - 1) / CAST(2 AS DOUBLE) AS r FROM (SELECT {c}, count(*) AS n FROM lineitem GROUP BY {c}) g"
+    out["spearman"] = f"SELECT round(corr(a.r, b.r), 6) AS rho FROM lineitem l JOIN ({rank('l_quantity')}) a ON l.l_quantity = a.v JOIN ({rank('l_discount')}) b ON l.l_discount = b.v"
+    out["dup_exact"] = "SELECT book_id, n FROM (SELECT book_id, count(*) OVER (PARTITION BY title, authors) AS n FROM books) t WHERE n > 1"
+    out["dup_same_desc"] = f"SELECT md5(description) AS h, count(*) AS n_rows, {d.joined('CAST(book_id AS STRING)')} AS ids, count(DISTINCT title) AS titles, min(substring(description, 1, 80)) AS sample FROM books GROUP BY md5(description) HAVING count(*) > 1"
+    tk = f"SELECT book_id, {key} AS k, {authors} AS al FROM books"
+    out["dup_title_author_pairs"] = f"SELECT DISTINCT a.book_id AS a, b.book_id AS b FROM (SELECT book_id, k, {d.explode}(al) AS author FROM ({tk}) t) a JOIN (SELECT book_id, k, {d.explode}(al) AS author FROM ({tk}) t) b ON a.k = b.k AND a.author = b.author AND a.book_id < b.book_id"
+    out["title_keys"] = f"SELECT book_id, {key} AS title_key, {d.size}({authors}) AS n_authors FROM books"
+    letters = d.replace("description", r"[^\p{L}]", "")
+    foreign = d.replace("description", r"[^\p{L}]|[A-Za-z]", "")
+    out["lang_flag"] = f"""SELECT book_id, CAST(0.7 AS DOUBLE) * CASE WHEN n >= 30 THEN (1 - s / CAST(n AS DOUBLE)) / CAST(0.98 AS DOUBLE) ELSE CAST(0.63 AS DOUBLE) END
+        + CAST(0.3 AS DOUBLE) * (coalesce(f / CAST(nullif(l, 0) AS DOUBLE), CAST(0 AS DOUBLE)) / CAST(0.40 AS DOUBLE)) >= CAST(0.7 AS DOUBLE) AS flag
+        FROM (SELECT book_id, {d.size}(t) AS n, {d.size}({d.filter('t', 'x', d.has(d.array(STRICT), 'x'))}) AS s, length({foreign}) AS f, length({letters}) AS l FROM (SELECT book_id, description, {tokens} AS t FROM books) q) w"""
+    out["desc_groups"] = "SELECT book_id, count(*) OVER (PARTITION BY md5(description)) AS desc_group_size FROM books"
+    out["future_year_decade"] = "SELECT book_id, CASE WHEN original_publication_year <= 2026 THEN original_publication_year END AS year, CAST(floor(original_publication_year / 10) * 10 AS BIGINT) AS decade FROM books"
+    out["author_flips"] = "SELECT book_id, authors FROM books WHERE authors LIKE '%,%' ORDER BY book_id LIMIT 30"
+    out["image_mask"] = "SELECT count(*) AS n, sum(CASE WHEN image_url IS NULL OR image_url = '' OR lower(image_url) LIKE '%nophoto%' THEN 1 ELSE 0 END) AS placeholders FROM books"
+    out["histogram_rating"] = "SELECT CAST(floor((average_rating - 1) / 0.25) AS INT) AS bin, count(*) AS n FROM books GROUP BY 1"
+    out["cache_anti_join"] = "SELECT b.book_id FROM books b LEFT JOIN embeddings e ON b.book_id = e.vec_id WHERE e.vec_id IS NULL ORDER BY b.book_id LIMIT 100"
+    out["cache_coverage"] = "SELECT round(avg(CASE WHEN e.vec_id IS NULL THEN 0 ELSE 1 END), 6) AS coverage FROM books b LEFT JOIN embeddings e ON b.book_id = e.vec_id"
+    row = "md5(concat_ws('␟', CAST(book_id AS STRING), title, description))"
+    out["content_hash"] = f"SELECT count(*) AS n, min({row}) AS low, max({row}) AS high, count(DISTINCT {row}) AS kinds FROM books"
+
+    # Lexical track
+    words = d.filter(d.split(f"concat({fold('title')}, ' ', {fold('title')}, ' ', {fold('description')})", " "), "x", f"x <> '' AND NOT {d.has(stop, 'x')}")
+    term = f"SELECT book_id, {d.explode}({words}) AS term FROM books"
+    n_all = "(SELECT count(*) AS n FROM books)"
+    tfidf = f"""tf AS (SELECT book_id, term, count(*) AS c FROM ({term}) t GROUP BY book_id, term), dfq AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+        idf AS (SELECT term, df, ln((1 + n) / CAST(1 + df AS DOUBLE)) + 1 AS idf FROM dfq CROSS JOIN {n_all} a WHERE df >= 5 AND df <= 0.9 * n),
+        w0 AS (SELECT book_id, tf.term, (1 + ln(c)) * idf AS w FROM tf JOIN idf ON tf.term = idf.term),
+        lex AS (SELECT w0.book_id, term, w / nrm AS w FROM w0 JOIN (SELECT book_id, sqrt(sum(w * w)) AS nrm FROM w0 GROUP BY book_id) q ON w0.book_id = q.book_id)"""
+    out["tfidf_weights"] = f"WITH {tfidf} SELECT book_id, count(*) AS terms, round(sum(w), 5) AS total, round(max(w), 6) AS top FROM lex GROUP BY book_id"
+    out["tfidf_vocabulary"] = f"WITH {tfidf} SELECT term, df, round(idf, 6) AS idf FROM idf"
+    out["tfidf_top_terms"] = f"WITH {tfidf} SELECT book_id, term, rk FROM (SELECT book_id, term, row_number() OVER (PARTITION BY book_id ORDER BY round(w, 9) DESC, term) AS rk FROM lex) t WHERE rk <= 15"
+    out["lexical_topk"] = f"""WITH {tfidf} SELECT seed, cand, score, rk FROM (SELECT seed, cand, score, row_number() OVER (PARTITION BY seed ORDER BY score DESC, cand) AS rk FROM
+        (SELECT s.book_id AS seed, c.book_id AS cand, round(sum(s.w * c.w), 6) AS score FROM lex s JOIN lex c ON s.term = c.term WHERE s.book_id % 100 = 0 AND s.book_id <> c.book_id GROUP BY s.book_id, c.book_id) p) t WHERE rk <= 10"""
+
+    # Authors and numerics
+    inc = f"inc AS (SELECT DISTINCT book_id, author FROM (SELECT book_id, {d.explode}({authors}) AS author FROM books) t)"
+    auth = f"""{inc}, iaf AS (SELECT author, count(*) AS df, ln((n + 1) / CAST(count(*) + 1 AS DOUBLE)) + 1 AS iaf FROM inc CROSS JOIN {n_all} a GROUP BY author, n),
+        aw AS (SELECT inc.book_id, inc.author, iaf / nrm AS w FROM inc JOIN iaf ON inc.author = iaf.author JOIN (SELECT book_id, sqrt(sum(iaf * iaf)) AS nrm FROM inc JOIN iaf ON inc.author = iaf.author GROUP BY book_id) q ON inc.book_id = q.book_id)"""
+    out["authors_iaf"] = f"WITH {auth} SELECT author, df, round(iaf, 6) AS iaf FROM iaf"
+    out["authors_weights"] = f"WITH {auth} SELECT book_id, author, round(w, 6) AS w FROM aw"
+    n_words = f"{d.size}({d.filter(d.split(d.replace('description', '[ \\n\\t\\r]+'), ' '), 'x', chr(120) + ' <> ' + chr(39) * 2)})"
+    num = f"""raw AS (SELECT book_id, {n_words} AS words, {d.size}({authors}) AS na, average_rating AS r, CASE WHEN original_publication_year <= 2026 THEN original_publication_year ELSE NULL END AS y FROM books),
+        st AS (SELECT median(words) AS mw, min(r) AS r0, max(r) AS r1, min(y) AS y0, max(y) AS y1 FROM raw),
+        num AS (SELECT book_id, ln(1 + CAST(words AS DOUBLE)) AS f1, CASE WHEN words >= mw THEN 1.0 ELSE 0.0 END AS f2, na AS f3, CASE WHEN na = 1 THEN 1.0 ELSE 0.0 END AS f4,
+          coalesce((r - r0) / nullif(r1 - r0, 0), 0) AS f5, coalesce((y - y0) / nullif(y1 - y0, 0), 0) AS f6, CASE WHEN y >= 2000 THEN 1.0 ELSE 0.0 END AS f7, CASE WHEN y < 1900 THEN 1.0 ELSE 0.0 END AS f8 FROM raw CROSS JOIN st),
+        nn AS (SELECT *, sqrt(CAST(f1*f1+f2*f2+f3*f3+f4*f4+f5*f5+f6*f6+f7*f7+f8*f8 AS DOUBLE)) AS nrm FROM num)"""
+    out["numeric_features"] = f"WITH {num} SELECT book_id, round(f1, 6) AS log_words, CAST(f2 AS DOUBLE) AS long_desc, CAST(f3 AS BIGINT) AS authors, CAST(f4 AS DOUBLE) AS single, round(CAST(f5 AS DOUBLE), 6) AS rating, round(CAST(f6 AS DOUBLE), 6) AS year_norm, CAST(f7 AS DOUBLE) AS modern, CAST(f8 AS DOUBLE) AS pre1900 FROM num"
+    out["numeric_variance"] = f"WITH {num} SELECT round(var_samp(f1), 6) AS v1, round(var_samp(CAST(f2 AS DOUBLE)), 6) AS v2, round(var_samp(CAST(f5 AS DOUBLE)), 6) AS v5, round(var_samp(CAST(f7 AS DOUBLE)), 6) AS v7 FROM num"
+
+    # Scores of all seeds against all candidates, percentiles and fusion
+    emb = "emb AS (SELECT vec_id AS book_id, embedding AS v FROM embeddings JOIN books ON vec_id = book_id)"
+    sem = f"sem AS (SELECT s.book_id AS seed, c.book_id AS cand, {d.dot('s.v', 'c.v')} AS score FROM emb s JOIN emb c ON s.book_id <> c.book_id WHERE s.book_id % 100 = 0)"
+    seeds = "seeds AS (SELECT book_id AS seed FROM books WHERE book_id % 100 = 0), pairs AS (SELECT seed, book_id AS cand FROM seeds JOIN books ON seed <> book_id)"
+    scores = f"""{seeds}, {emb}, {sem}, {auth}, {num},
+        ad AS (SELECT s.book_id AS seed, c.book_id AS cand, sum(s.w * c.w) AS score FROM aw s JOIN aw c ON s.author = c.author WHERE s.book_id % 100 = 0 AND s.book_id <> c.book_id GROUP BY s.book_id, c.book_id),
+        scores AS (SELECT seed, cand, 'semantic' AS track, round(score, 9) AS score FROM sem
+          UNION ALL SELECT p.seed, p.cand, 'authors', round(coalesce(ad.score, 0), 9) FROM pairs p LEFT JOIN ad ON p.seed = ad.seed AND p.cand = ad.cand
+          UNION ALL SELECT p.seed, p.cand, 'numerics', round(CAST(a.f1*b.f1+a.f2*b.f2+a.f3*b.f3+a.f4*b.f4+a.f5*b.f5+a.f6*b.f6+a.f7*b.f7+a.f8*b.f8 AS DOUBLE) / (a.nrm * b.nrm), 9) FROM pairs p JOIN nn a ON p.seed = a.book_id JOIN nn b ON p.cand = b.book_id),
+        pct AS (SELECT seed, cand, track, score, row_number() OVER (PARTITION BY seed, track ORDER BY score, cand) / CAST(count(*) OVER (PARTITION BY seed, track) + 1 AS DOUBLE) AS pct FROM scores)"""
+    weights = "wt AS (SELECT 'semantic' AS track, CAST(0.4 AS DOUBLE) AS w UNION ALL SELECT 'authors', CAST(0.2 AS DOUBLE) UNION ALL SELECT 'numerics', CAST(0.1 AS DOUBLE))"
+    fused = f"""{scores}, {weights}, live AS (SELECT seed, track, w / sum(w) OVER (PARTITION BY seed) AS w FROM (SELECT DISTINCT seed, track FROM pct) t JOIN wt USING (track)),
+        fused AS (SELECT p.seed, p.cand, round(sum(pct * w), 6) AS fused FROM pct p JOIN live l ON p.seed = l.seed AND p.track = l.track GROUP BY p.seed, p.cand)"""
+    ranked = f"{fused}, ranked AS (SELECT seed, cand, fused, row_number() OVER (PARTITION BY seed ORDER BY fused DESC, cand) AS rk FROM fused)"
+    top = "SELECT seed, cand, score, rk FROM (SELECT seed, cand, round(score, 6) AS score, row_number() OVER (PARTITION BY seed ORDER BY round(score, 9) DESC, cand) AS rk FROM {}) t WHERE rk <= 10"
+    out["cosine_dense_topk"] = f"WITH {emb}, {sem} {top.format('sem')}"
+    out["cosine_sparse_topk"] = f"WITH {auth}, ad AS (SELECT s.book_id AS seed, c.book_id AS cand, sum(s.w * c.w) AS score FROM aw s JOIN aw c ON s.author = c.author WHERE s.book_id % 100 = 0 AND s.book_id <> c.book_id GROUP BY s.book_id, c.book_id) {top.format('ad')}"
+    out["rank_percentile"] = f"WITH {scores} SELECT seed, track, count(*) AS n, round(min(pct), 6) AS low, round(max(pct), 6) AS high, sum(CASE WHEN pct > 0.9 THEN cand ELSE 0 END) AS top_sum FROM pct GROUP BY seed, track"
+    out["fused_topk"] = f"WITH {ranked} SELECT seed, cand, fused, rk FROM ranked WHERE rk <= 5"
+    out["fused_all"] = f"WITH {fused} SELECT seed, cand, fused FROM fused"
+    out["fused_topk_deep"] = f"WITH {ranked} SELECT seed, cand, fused, rk FROM ranked WHERE rk <= 20"
+    era = "CASE WHEN (a.f7 = b.f7 AND a.f8 = b.f8) THEN 1 ELSE 0 END"
+    out["fused_topk_year_bias"] = f"WITH {fused} SELECT seed, cand, biased, rk FROM (SELECT seed, cand, biased, row_number() OVER (PARTITION BY seed ORDER BY biased DESC, cand) AS rk FROM (SELECT seed, cand, round(fused + CAST(0.02 AS DOUBLE) * {era}, 6) AS biased FROM fused JOIN num a ON seed = a.book_id JOIN num b ON cand = b.book_id) t) u WHERE rk <= 5"
+    out["year_resort"] = f"WITH {ranked} SELECT seed, cand, row_number() OVER (PARTITION BY seed ORDER BY CASE WHEN abs(a.y - b.y) IS NULL THEN 1 ELSE 0 END, abs(a.y - b.y), rk) AS new_rk FROM ranked JOIN raw a ON seed = a.book_id JOIN raw b ON cand = b.book_id WHERE rk <= 5"
+    out["contrib_explain"] = f"WITH {ranked} SELECT r.seed, r.cand, r.rk, p.track, round(p.pct * wt.w, 6) AS contrib FROM ranked r JOIN pct p ON r.seed = p.seed AND r.cand = p.cand JOIN wt ON p.track = wt.track WHERE r.rk <= 5"
+    out["nearest_table"] = f"""WITH {emb}, {sem}, near AS ({top.format('sem')}) SELECT seed, cand, score, rk, CASE WHEN a.authors = b.authors THEN 1 ELSE 0 END AS same_authors,
+        b.original_publication_year - a.original_publication_year AS d_year, round(b.average_rating - a.average_rating, 6) AS d_rating FROM near JOIN books a ON seed = a.book_id JOIN books b ON cand = b.book_id"""
+
+    # Genres and evaluation
+    values = ", ".join(f"({p}, '{c}', '{n}')" for p, (c, needles) in enumerate(TAXONOMY) for n in needles)
+    names = ", ".join(f"({k}, '{g}')" for k, g in enumerate(DEMO_GENRES))
+    genre = f"""names AS (SELECT * FROM (VALUES {names}) AS t(k, genres)), bg AS (SELECT vec_id AS book_id, genres FROM embeddings JOIN names ON label % 10 = k JOIN books ON vec_id = books.book_id),
+        one AS (SELECT book_id, lower(trim(g)) AS g FROM (SELECT book_id, {d.explode}({d.split('genres', ',')}) AS g FROM bg) t), tax AS (SELECT * FROM (VALUES {values}) AS t(p, category, needle)),
+        hit AS (SELECT book_id, g, min(p) AS p FROM one LEFT JOIN tax ON contains(g, needle) GROUP BY book_id, g),
+        coarse AS (SELECT DISTINCT book_id, coalesce(category, 'other') AS c FROM hit LEFT JOIN (SELECT DISTINCT p, category FROM tax) t ON hit.p = t.p),
+        combo AS (SELECT book_id, {d.joined('c')} AS combo FROM coarse GROUP BY book_id), cnt AS (SELECT combo, count(*) AS n FROM combo GROUP BY combo),
+        igf AS (SELECT combo, n, w / max(w) OVER () AS igf FROM (SELECT combo, n, (t + 1) / CAST(n + 1 AS DOUBLE) AS w FROM cnt CROSS JOIN (SELECT sum(n) AS t FROM cnt) s) q)"""
+    out["coarse_genres"] = f"WITH {genre} SELECT book_id, combo FROM combo"
+    out["igf_combo"] = f"WITH {genre} SELECT combo, n, round(igf, 6) AS igf FROM igf"
+    picks = f"{ranked}, {genre}, picks AS (SELECT seed, cand, rk FROM ranked WHERE rk <= 10)"
+    out["genre_at_k"] = f"""WITH {picks} SELECT p.seed, round(avg(CASE WHEN o.n IS NULL THEN CAST(0 AS DOUBLE) ELSE coalesce(igf, CAST(1 AS DOUBLE)) END), 6) AS genre_at_k FROM picks p
+        LEFT JOIN (SELECT p.seed, p.cand, count(*) AS n FROM picks p JOIN coarse a ON p.seed = a.book_id JOIN coarse b ON p.cand = b.book_id AND a.c = b.c GROUP BY p.seed, p.cand) o ON p.seed = o.seed AND p.cand = o.cand
+        LEFT JOIN combo ON p.cand = combo.book_id LEFT JOIN igf ON combo.combo = igf.combo GROUP BY p.seed"""
+    out["yearflag_at_k"] = f"WITH {ranked} SELECT seed, round(avg(CAST({era} AS DOUBLE)), 6) AS yearflag FROM ranked JOIN num a ON seed = a.book_id JOIN num b ON cand = b.book_id WHERE rk <= 10 GROUP BY seed"
+    out["rating_drift"] = f"WITH {ranked} SELECT seed, round(avg(CASE WHEN abs(a.r - b.r) > 0.5 THEN CAST(1 AS DOUBLE) ELSE 0 END), 6) AS drift FROM ranked JOIN raw a ON seed = a.book_id JOIN raw b ON cand = b.book_id WHERE rk <= 10 GROUP BY seed"
+    two = lambda name, a, b: f"(SELECT CAST({a} AS DOUBLE) AS {name} UNION ALL SELECT CAST({b} AS DOUBLE)) t_{name}"
+    grid = f"SELECT row_number() OVER (ORDER BY ws, wa, wn) AS g, ws, wa, wn FROM {two('ws', 0.3, 0.5)} CROSS JOIN {two('wa', 0.1, 0.2)} CROSS JOIN {two('wn', 0.05, 0.15)}"
+    out["weight_grid"] = grid
+    delta = lambda name, mid: f"(SELECT greatest(CAST(0 AS DOUBLE), CAST({mid} AS DOUBLE) + x) AS {name} FROM (SELECT CAST(-0.05 AS DOUBLE) AS x UNION ALL SELECT CAST(0 AS DOUBLE) UNION ALL SELECT CAST(0.05 AS DOUBLE)) q) t_{name}"
+    out["fine_sweep"] = f"SELECT DISTINCT round(a / s, 3) AS a, round(b / s, 3) AS b, round(c / s, 3) AS c FROM (SELECT a, b, c, a + b + c AS s FROM {delta('a', 0.4)} CROSS JOIN {delta('b', 0.2)} CROSS JOIN {delta('c', 0.1)}) t WHERE s > 0"
+    # Percentiles are computed once; each weight setting is a row.
+    out["grid_eval"] = f"""WITH {scores}, grid AS ({grid}), wide AS (SELECT seed, cand, sum(CASE WHEN track = 'semantic' THEN pct ELSE 0 END) AS ps, sum(CASE WHEN track = 'authors' THEN pct ELSE 0 END) AS pa, sum(CASE WHEN track = 'numerics' THEN pct ELSE 0 END) AS pn FROM pct GROUP BY seed, cand),
+        has AS (SELECT DISTINCT seed, 1 AS s FROM sem), mixed AS (SELECT g, w.seed, cand, row_number() OVER (PARTITION BY g, w.seed ORDER BY round((ps * ws + pa * wa + pn * wn) / (coalesce(s, 0) * ws + wa + wn), 6) DESC, cand) AS rk FROM wide w CROSS JOIN grid LEFT JOIN has ON w.seed = has.seed)
+        SELECT g, round(avg(CAST({era} AS DOUBLE)), 6) AS yearflag FROM mixed JOIN num a ON seed = a.book_id JOIN num b ON cand = b.book_id WHERE rk <= 10 GROUP BY g"""
+    lists = f"{scores}, lists AS (SELECT seed, track, cand, row_number() OVER (PARTITION BY seed, track ORDER BY pct DESC) AS rk FROM pct)"
+    common = f"{lists}, shared AS (SELECT a.seed, a.track AS t1, b.track AS t2, a.cand, a.rk AS r1, b.rk AS r2 FROM lists a JOIN lists b ON a.seed = b.seed AND a.cand = b.cand AND a.track < b.track WHERE a.rk <= 10 AND b.rk <= 10)"
+    out["jaccard_at_k"] = f"WITH {common} SELECT seed, t1, t2, count(*) / CAST(10 AS DOUBLE) AS jaccard FROM shared GROUP BY seed, t1, t2"
+    deep = common.replace("<= 10", "<= 100")
+    out["kendall_tau"] = f"""WITH {deep} SELECT a.seed, a.t1, a.t2, round(sum(CASE WHEN (a.r1 - b.r1) * (a.r2 - b.r2) > 0 THEN 1 ELSE -1 END) / CAST(count(*) AS DOUBLE), 6) AS tau FROM shared a JOIN shared b ON a.seed = b.seed AND a.t1 = b.t1 AND a.t2 = b.t2 AND a.cand < b.cand GROUP BY a.seed, a.t1, a.t2"""
+    out["agreement"] = f"WITH {common} SELECT t1 || '_' || t2 AS pair, round(sum(CASE WHEN cand IS NULL THEN 0 ELSE 1 END) / (10 * max(ns)), 6) AS jaccard FROM shared CROSS JOIN (SELECT CAST(count(*) AS DOUBLE) AS ns FROM seeds) s GROUP BY t1, t2"
+    out["diversity_hhi"] = f"WITH {ranked} SELECT seed, round(sum(n * n) / CAST(100 AS DOUBLE), 6) AS hhi, max(hi) - min(lo) AS year_range FROM (SELECT seed, b.authors, CAST(count(*) AS DOUBLE) AS n, max(original_publication_year) AS hi, min(original_publication_year) AS lo FROM ranked JOIN books b ON cand = b.book_id WHERE rk <= 10 GROUP BY seed, b.authors) t GROUP BY seed"
+    norm = f"sqrt({d.dot('embedding', 'embedding')})"
+    out["norm_outliers"] = f"""SELECT round(avg(CASE WHEN abs(n - m) / (mad + 1e-9) > 5 THEN CAST(1 AS DOUBLE) ELSE 0 END), 6) AS share FROM (SELECT {d.dot('embedding', 'embedding')} AS n FROM embeddings) e CROSS JOIN
+        (SELECT max(m) AS m, median(abs(n - m)) AS mad FROM (SELECT {d.dot('embedding', 'embedding')} AS n FROM embeddings) x CROSS JOIN (SELECT median({d.dot('embedding', 'embedding')}) AS m FROM embeddings) y) z"""
+    out["vector_health"] = f"SELECT count(*) AS n, round(min({norm}), 5) AS low, round(median({norm}), 5) AS mid, round(max({norm}), 5) AS high FROM embeddings"
+    pctl = "percentile(score, 0.95)" if d.spark else "quantile_cont(score, 0.95)"
+    out["separation_p95"] = f"""WITH {emb}, {sem}, lab AS (SELECT seed, cand, score, CASE WHEN a.label = b.label THEN 1 ELSE 0 END AS pos FROM sem JOIN embeddings a ON seed = a.vec_id JOIN embeddings b ON cand = b.vec_id),
+        thr AS (SELECT {pctl} AS t FROM lab WHERE pos = 0) SELECT round(max(t), 6) AS threshold, round(avg(CASE WHEN score >= t THEN CAST(1 AS DOUBLE) ELSE 0 END), 6) AS separation FROM lab CROSS JOIN thr WHERE pos = 1"""
+    out["stability_md5"] = f"""WITH {emb}, {sem}, base AS (SELECT seed, cand FROM (SELECT seed, cand, row_number() OVER (PARTITION BY seed ORDER BY round(score, 9) DESC, cand) AS rk FROM sem) t WHERE rk <= 10),
+        trials AS (SELECT 1 AS trial UNION ALL SELECT 2 UNION ALL SELECT 3), sub AS (SELECT trial, seed, cand FROM (SELECT trial, seed, cand, row_number() OVER (PARTITION BY trial, seed ORDER BY round(score, 9) DESC, cand) AS rk FROM sem CROSS JOIN trials WHERE md5(CAST(trial AS STRING) || ':' || CAST(cand AS STRING)) < 'cccc') t WHERE rk <= 10)
+        SELECT trial, round(count(*) / (10 * max(ns)), 6) AS stability FROM sub JOIN base ON sub.seed = base.seed AND sub.cand = base.cand CROSS JOIN (SELECT CAST(count(DISTINCT seed) AS DOUBLE) AS ns FROM base) q GROUP BY trial"""
+    out["random_seeds"] = f"SELECT book_id, {order(7, 'book_id')} AS h FROM books ORDER BY h LIMIT 50"
+    out["negative_samples"] = f"""WITH s AS (SELECT book_id, description FROM books WHERE book_id % 100 = 0) SELECT seed, cand FROM (SELECT s.book_id AS seed, b.book_id AS cand, row_number() OVER (PARTITION BY s.book_id ORDER BY md5(CAST(s.book_id AS STRING) || ':' || CAST(b.book_id AS STRING)), b.book_id) AS rk
+        FROM s JOIN books b ON s.book_id <> b.book_id AND s.description <> b.description) t WHERE rk <= 5"""
+    out["positive_sets"] = "SELECT seed, cand FROM (SELECT seed, cand, row_number() OVER (PARTITION BY seed ORDER BY cand) AS rk FROM (SELECT a.book_id AS seed, b.book_id AS cand FROM books a JOIN books b ON md5(a.description) = md5(b.description) AND a.book_id <> b.book_id UNION SELECT a.book_id, b.book_id FROM books a JOIN books b ON a.authors = b.authors AND a.book_id <> b.book_id) u) t WHERE rk <= 5"
+    first = lambda name, cond, by: f"SELECT '{name}' AS why, min(book_id) AS book_id FROM books WHERE {cond}" if not by else f"SELECT '{name}' AS why, book_id FROM (SELECT book_id FROM books WHERE {cond} ORDER BY {by} LIMIT 1) t_{name}"
+    out["seed_picker"] = " UNION ALL ".join([first("pre1900", "original_publication_year < 1900", ""), first("modern", "original_publication_year >= 2000", ""), first("no_image", "image_url LIKE '%nophoto%'", ""), first("top_rated", "average_rating IS NOT NULL", "average_rating DESC, length(description) DESC, book_id")])
+    out["scorecard"] = """WITH s AS (SELECT * FROM (VALUES ('tfidf', 0.8, 0.4, 0.3), ('semantic', 0.9, 0.5, 0.0), ('authors', 0.6, 0.7, 0.5), ('numerics', 0.5, 0.1, 0.6), ('image', 0.7, 0.2, 0.9)) AS t(track, stab, sep, uniq)),
+        r AS (SELECT track, least(greatest(0, CAST(0.5 * stab + 0.3 * sep + 0.2 * uniq AS DOUBLE)), CAST(CASE WHEN track = 'image' THEN 0.1 ELSE 0.6 END AS DOUBLE)) AS raw FROM s) SELECT track, round(raw / sum(raw) OVER (), 6) AS recommended FROM r"""
+    out["dataset_manifest"] = "SELECT count(*) AS n_rows, round(avg(CASE WHEN image_url LIKE '%nophoto%' THEN CAST(1 AS DOUBLE) ELSE 0 END), 6) AS no_cover, count(DISTINCT md5(description)) AS kinds FROM books"
+    return out
