@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .stopwords import ENGLISH, STRICT
 
@@ -66,13 +67,13 @@ def suspected_non_english(c: Column, words=tuple(STRICT)) -> Column:
     return F.lit(0.7) * share + F.lit(0.3) * (non_ascii_ratio(c) / F.lit(0.40)) >= F.lit(0.7)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normal_form(s: pd.Series) -> pd.Series:
     """NFKC, for texts that are not plain ASCII (Spark has no such function)."""
     return s.str.normalize("NFKC")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def ascii_fold(s: pd.Series) -> pd.Series:
     """NFKD without what is not ASCII."""
     return s.str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii")
