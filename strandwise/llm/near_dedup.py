@@ -249,7 +249,9 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5, id_col:
     member = table.select("u", "id", "same").join(lead, "same", "left")
     member = member.join(roots.select(F.col("u").alias("rep"), "root"), "rep", "left")
     member = member.withColumn("root", F.coalesce("root", "rep", "u"))
-    best = member.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "u")).alias("best"))
+    member = scratch(member, "members")
+    # Written first, so that both sides of the join are plain shuffles, which Spark splits where a class is large.
+    best = scratch(member.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "u")).alias("best")), "best")
     member = member.join(best, "root").select("u", "id", F.col("best.id").alias("class_id"), (F.col("u") == F.col("best.u")).alias("keep"))
     if carry:
         # Decisions move to the texts' buckets; the texts stay where they are.

@@ -455,7 +455,8 @@ def remove_repeats(docs: DataFrame, depth: int = 100, id_col: str = "doc_id", te
     release(spark)
 
     first = found.where("first")
-    many = first.groupBy("h").agg(F.count("*").alias("contexts")).where("contexts > 1")
+    # Written first, so that both sides of the join are plain shuffles, which Spark splits where a key is hot.
+    many = scratch(first.groupBy("h").agg(F.count("*").alias("contexts")).where("contexts > 1"), "many")
     fresh = first.join(many, "h").select("id", F.struct("h", "s", "n", "rel", (F.col("contexts") > wide).alias("wide")).alias("x"))
     by_doc = fresh.groupBy("id").agg(F.collect_list("x").alias("places"))
     near = beside(by_doc, "inner").mapInArrow(lambda it: _windows(it, depth, n), "bucket int, kind int, data binary")
@@ -464,7 +465,7 @@ def remove_repeats(docs: DataFrame, depth: int = 100, id_col: str = "doc_id", te
     by_doc = scratch(spans.groupBy("id").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
     release(spark)
 
-    for t in (places, found):
+    for t in (places, found, many):
         drop_scratch(t)
     names = [f"carry_{c}" for c in carry]
     no_span = F.expr("array_remove(array(named_struct('s', 0L, 'e', 0L)), named_struct('s', 0L, 'e', 0L))")
