@@ -37,7 +37,7 @@ class WordIds(dict):
     becomes the old one, and words used again move back.
     """
 
-    MOST = 200_000
+    MOST = 400_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -219,7 +219,7 @@ def _pack(batches, path, end_id, capacity, pool):
     def rows():
         for batch in batches:
             keys, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            for lo, hi in chunks(buffers(texts)[1], 2 * CHUNK_BYTES):
+            for lo, hi in chunks(buffers(texts)[1], 4 * CHUNK_BYTES):
                 for key, ids in zip(keys[lo:hi], words.ids([t or "" for t in texts[lo:hi].to_pylist()]), strict=True):
                     yield key, ids + end
 
