@@ -187,6 +187,31 @@ def test_radix_groups():
     assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
 
 
+@pytest.mark.parametrize("block", [2048, 16])
+def test_near_duplicates_around_the_threshold(spark, monkeypatch, block):
+    # A family most of whose pairs lie just below 0.8: firsts and neighbours of a bucket alone miss links.
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for _ in range(160):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 3, 3, 4, 4])):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+        texts.append(w)
+    bags = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in texts]
+    low = list(range(len(bags)))
+    for i in range(len(bags)):
+        for j in range(i):
+            if len(bags[i] & bags[j]) / len(bags[i] | bags[j]) >= 0.8:
+                a, b = low[i], low[j]
+                low = [min(a, b) if x in (a, b) else x for x in low]
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()}
+    assert [got[k] for k in range(len(low))] == low
+    assert 1 < len(set(low)) < len(low)
+
+
 def test_near_duplicates(spark):
     rng = random.Random(5)
     vocab = [f"w{k}" for k in range(400)]
