@@ -12,8 +12,8 @@ from .suffix_dedup import _blobs, _gather
 
 #: Bands times rows: a pair at similarity 0.8 shares no band with probability (1 - 0.8 ** 5) ** 26 < 4e-5.
 BANDS, ROWS = 26, 5
-#: Members of a block of a bucket that holds several classes (memory of a cell, not a cap).
-BLOCK = 2048
+#: Members and bytes of text of a block of a bucket that holds several classes (memory of a cell, not a cap).
+BLOCK, BLOCK_BYTES = 512, 1 << 20
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _K = np.dtype([("key", "<u8"), ("u", "<i8")])
 _E = np.dtype([("u", "<i8"), ("v", "<i8")])
@@ -107,8 +107,8 @@ def _signatures(batches, width, bands, rows):
                 key = mix(key * np.uint64(3) + sig[:, r::rows][:, :bands] + np.arange(bands, dtype=np.uint64))
             some = np.unique(d)
             keys = [k.tobytes() for k in key[some]]
-            marks = [x.tobytes() for x in (sig[some] >> np.uint64(56)).astype(np.uint8)]
-            yield pa.RecordBatch.from_arrays([pa.array(u[lo:hi][some]), pa.array(keys, pa.binary()), pa.array(marks, pa.binary())], ["u", "keys", "marks"])
+            size = (off[lo + 1 : hi + 1] - off[lo:hi])[some]
+            yield pa.RecordBatch.from_arrays([pa.array(u[lo:hi][some]), pa.array(keys, pa.binary()), pa.array(size)], ["u", "keys", "size"])
 
 
 def _edges(x):
@@ -206,78 +206,109 @@ def _common(batches):
 def _members(batches, bands):
     for batch in batches:
         key = _flat(batch.column("keys"), np.int64)
-        u, root = (np.repeat(batch.column(c).to_numpy(), bands) for c in ("u", "root"))
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(u), pa.array(root)], ["key", "u", "root"])
+        rest = [pa.array(np.repeat(batch.column(c).to_numpy(), bands)) for c in ("u", "root", "size")]
+        yield pa.RecordBatch.from_arrays([pa.array(key), *rest], ["key", "u", "root", "size"])
 
 
-def cross_pairs(u, root, side, marks, need: int) -> np.ndarray:
-    """Pairs of one cell whose classes differ and whose signatures agree at `need` places or more.
+def overlaps(raw: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes, sums of minima of all pairs) of the shingle multisets of a few texts, by products of 0/1 matrices.
 
-    side: 0 and 1 for the members of two blocks, whose mixed pairs are wanted, or 0 alone for all pairs of a block.
+    The k-th occurrence of a shingle is an element of its own, which turns multisets into sets.
     """
-    found = [np.zeros(0, _E)]
-    a, b = np.flatnonzero(side == 0), np.flatnonzero(side == side.max())
-    for lo in range(0, len(a), 32):
-        i = a[lo : lo + 32]
-        agree = (marks[i][:, None, :] == marks[b][None, :, :]).sum(axis=2)
-        x, y = np.nonzero((agree >= need) & (root[i][:, None] != root[b][None, :]))
-        e = np.zeros(len(x), _E)
-        e["u"], e["v"] = np.maximum(u[i[x]], u[b[y]]), np.minimum(u[i[x]], u[b[y]])
-        found.append(e)
-    return np.unique(np.concatenate(found))
-
-
-def _cells(batches, need):
+    n = len(off) - 1
+    doc, h, count = counted(*shingles(raw, off, width))
+    nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    doc = np.repeat(doc, count)
+    _, col, held = np.unique(mix(np.repeat(h, count) + nth.astype(np.uint64) * _GOLD), return_inverse=True, return_counts=True)
+    sizes = np.bincount(doc, minlength=n)
+    shared = held > 1
+    doc, col = doc[shared[col]], (np.cumsum(shared) - 1)[col[shared[col]]]
+    order = np.argsort(col, kind="stable")
+    doc, col = doc[order], col[order]
+    both = np.zeros((n, n), np.float32)
+    for lo in range(0, int(shared.sum()), 2048):
+        x, y = np.searchsorted(col, [lo, lo + 2048])
+        block = np.zeros((n, 2048), np.float32)
+        block[doc[x:y], col[x:y] - lo] = 1
+        both += block @ block.T
+    return sizes, both.astype(np.float64)
+
+
+def joining_links(linked: np.ndarray, root: np.ndarray) -> list[tuple[int, int]]:
+    """Links (i, j) that join the classes of a matrix of links, fewer than there are classes."""
+    label = np.unique(root, return_inverse=True)[1]
+    top = len(label)
+    out = []
+    while True:
+        low = np.where(linked, label[None, :], top).min(axis=1)
+        best = np.flatnonzero(low < label)
+        if not len(best):
+            return out
+        best = best[np.lexsort((low[best], label[best]))]
+        best = best[~same_as_before(label[best])]
+        out += [(int(i), int(np.flatnonzero(linked[i] & (label == low[i]))[0])) for i in best]
+        to = np.arange(top)
+        to[label[best]] = low[best]
+        label = to[label]
+
+
+def _cells(batches, width, least):
     """Rows sorted by cell (key, lo, hi); a cell may go on in the next batch."""
     trim()
     rest = None
-    whole = lambda t: pa.Table.from_batches(t) if isinstance(t, list) else t
 
-    def pairs_of(t):
+    def links_of(t):
         t = t.combine_chunks()
-        col = {c: t.column(c).to_numpy() for c in ("key", "lo", "hi", "block", "u", "root")}
-        marks = _flat(t.column("marks"), np.uint8).reshape(t.num_rows, -1)
-        cut = np.flatnonzero(np.r_[True, ~same_as_before(col["key"], col["lo"], col["hi"])[1:], True])
+        key, lo, hi, u, root = (t.column(c).to_numpy() for c in ("key", "lo", "hi", "u", "root"))
+        raw, off = buffers(t.column("text"))
+        cut = np.flatnonzero(np.r_[~same_as_before(key, lo, hi), True])
         for x, y in zip(cut[:-1], cut[1:], strict=True):
-            if len(np.unique(col["root"][x:y])) > 1:
-                e = cross_pairs(col["u"][x:y], col["root"][x:y], (col["block"][x:y] != col["lo"][x:y]).astype(np.int8), marks[x:y], need)
-                if len(e):
-                    yield pa.RecordBatch.from_arrays([pa.array(e["u"].copy()), pa.array(e["v"].copy())], ["u", "v"])
+            if (root[x:y] == root[x]).all():
+                continue
+            sizes, both = overlaps(raw[off[x] : off[y]], off[x : y + 1] - off[x], width)
+            linked = both / np.maximum(sizes[:, None] + sizes[None, :] - both, 1) >= least - 1e-12
+            found = joining_links(linked, root[x:y])
+            if found:
+                i, j = np.array(found).T
+                yield pa.RecordBatch.from_arrays([pa.array(u[x:y][i]), pa.array(u[x:y][j])], ["u", "v"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        t = whole([batch]) if rest is None else pa.concat_tables([rest, whole([batch])])
-        last = np.flatnonzero(~same_as_before(*(t.column(c).to_numpy() for c in ("key", "lo", "hi"))))[-1]
-        yield from pairs_of(t.slice(0, last)) if last else ()
+        t = pa.Table.from_batches([batch])
+        t = t if rest is None else pa.concat_tables([rest, t])
+        last = int(np.flatnonzero(~same_as_before(*(t.column(c).to_numpy() for c in ("key", "lo", "hi"))))[-1])
+        if last:
+            yield from links_of(t.slice(0, last))
         rest = t.slice(last)
     if rest is not None:
-        yield from pairs_of(rest)
+        yield from links_of(rest)
 
 
-def remaining_pairs(signed: DataFrame, pairs: DataFrame, roots: DataFrame, n: int, need: int) -> DataFrame | None:
-    """Pairs (u, v) not compared yet that share a bucket, belong to different classes and may be similar.
+def remaining_links(table: DataFrame, signed: DataFrame, pairs: DataFrame, roots: DataFrame, n: int, width: int, least: float) -> DataFrame | None:
+    """Links (u, v) between different classes that share a bucket: enough of them to join these classes.
 
     The compared pairs of a bucket connect it, so a bucket holds several classes only if one of its pairs failed.
-    Just those buckets are looked at again: cut into blocks of at most about BLOCK members, every two blocks of a
-    bucket meet in a cell, and each cell compares signatures across classes. None if no bucket has several classes.
+    Just those buckets are looked at again: cut into blocks of about BLOCK members and BLOCK_BYTES of text, every
+    two blocks of a bucket meet in a cell with their texts, where all similarities are computed exactly; only links
+    that join classes leave the cell, fewer than it has members. None if no bucket has several classes.
     """
     some = pairs.select("u").union(pairs.select("v")).distinct()
     who = signed.join(some, "u").join(roots, "u", "left").withColumn("root", F.coalesce("root", "u"))
-    who = scratch(who.select("u", "root", "keys", "marks"), "touched")
-    left = who.select("u", "root", "keys")
+    who = scratch(who.select("u", "root", "size", "keys"), "touched")
     right = who.select(F.col("u").alias("v"), F.col("root").alias("root_v"), F.col("keys").alias("keys_v"))
-    failed = scratch(pairs.join(left.select("u", "root"), "u").join(right.select("v", "root_v"), "v").where("root != root_v").select("u", "v"), "failed")
-    mixed = failed.join(left.select("u", "keys"), "u").join(right.select("v", "keys_v"), "v").select("keys", "keys_v")
+    failed = scratch(pairs.join(who.select("u", "root"), "u").join(right.select("v", "root_v"), "v").where("root != root_v").select("u", "v"), "failed")
+    mixed = failed.join(who.select("u", "keys"), "u").join(right.select("v", "keys_v"), "v").select("keys", "keys_v")
     mixed = scratch(mixed.mapInArrow(_common, "key long").distinct(), "mixed")
     if mixed.isEmpty():
         return None
-    member = scratch(left.mapInArrow(lambda it: _members(it, BANDS), "key long, u long, root long").join(mixed, "key"), "members")
-    size = member.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    cell = member.join(size, "key").withColumn("block", F.expr("CAST(pmod(xxhash64(u), blocks) AS INT)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    cell = cell.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "u", "root").join(who.select("u", "marks"), "u")
-    cell = cell.repartition(n, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return scratch(cell.mapInArrow(lambda it: _cells(it, need), "u long, v long").distinct().join(pairs, ["u", "v"], "left_anti"), "rest")
+    member = scratch(who.mapInArrow(lambda it: _members(it, BANDS), "key long, u long, root long, size long").join(mixed, "key"), "members")
+    blocks = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("size") / F.lit(BLOCK_BYTES))).cast("int")
+    cell = member.join(member.groupBy("key").agg(blocks.alias("blocks")), "key").withColumn("block", F.expr("CAST(pmod(xxhash64(u), blocks) AS INT)"))
+    cell = cell.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).where("blocks = 1 OR other != block")
+    cell = cell.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "u", "root")
+    cell = table.select("u", "text").join(cell.hint("shuffle_hash"), "u").repartition(n, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    return scratch(cell.select("key", "lo", "hi", "u", "root", "text").mapInArrow(lambda it: _cells(it, width, least), "u long, v long"), "rest")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -305,9 +336,8 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5, id_col:
     text is one run) have weighted Jaccard similarity of at least `least`; classes are the connected components.
     Equal texts are one text. Candidates share a band of their BagMinHash signatures; in each bucket a text is
     compared exactly with the first text and with the one before it, in every task and then between tasks, so a hot
-    bucket stays linear. Buckets that then still hold several classes are gone through again, block by block: pairs
-    across their classes are compared exactly if their signatures agree at enough places (4.5 standard deviations
-    below what similarity `least` gives, which a linked pair misses with probability 1e-5).
+    bucket stays linear. Buckets that then still hold several classes are gone through again, block by block, and
+    all their pairs are compared exactly, so every link between texts that share a bucket counts.
 
     Texts without words (null and empty ones too) are classes of their own; rows may share an id or repeat; of ties
     the row read first is kept; an empty table gives an empty result; columns in carry are kept.
@@ -328,26 +358,20 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5, id_col:
     lead = table.where("same IS NOT NULL").groupBy("same").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "u")).alias("lead"))
     lead = scratch(lead.select("same", F.col("lead.u").alias("rep")), "lead")
     one = table.select("u", "text").join(lead.select(F.col("rep").alias("u")).hint("shuffle_hash"), "u")
-    signed = scratch(one.mapInArrow(lambda it: _signatures(it, width, BANDS, ROWS), "u long, keys binary, marks binary"), "signatures")
+    signed = scratch(one.mapInArrow(lambda it: _signatures(it, width, BANDS, ROWS), "u long, keys binary, size long"), "signatures")
     release(spark)
     pairs = signed.repartition(n, "u").mapInArrow(lambda it: _local(it, BANDS, n), "bucket int, kind int, data binary")
     pairs = pairs.repartitionById(n, "bucket").mapInArrow(_global, "u long, v long").distinct()
     pairs = scratch(pairs, "pairs")
-
-    def linked(found: DataFrame) -> DataFrame:
-        left = table.select("u", "text").join(found.hint("shuffle_hash"), "u")
-        right = table.select(F.col("u").alias("v"), F.col("text").alias("text_v"))
-        return scratch(right.join(left.hint("shuffle_hash"), "v").select("u", "v", "text", "text_v").mapInArrow(lambda it: _verify(it, width, least), "u long, v long"), "links")
-
-    links = linked(pairs)
+    left = table.select("u", "text").join(pairs.hint("shuffle_hash"), "u")
+    right = table.select(F.col("u").alias("v"), F.col("text").alias("text_v"))
+    links = scratch(right.join(left.hint("shuffle_hash"), "v").select("u", "v", "text", "text_v").mapInArrow(lambda it: _verify(it, width, least), "u long, v long"), "links")
     release(spark)
     roots = components(links)
-    places = BANDS * ROWS
-    rest = remaining_pairs(signed, pairs, roots, n, int(places * least - 4.5 * (places * least * (1 - least)) ** 0.5))
+    rest = remaining_links(table, signed, pairs, roots, n, width, least)
     if rest is not None and not rest.isEmpty():
-        links = links.union(linked(rest))
         release(spark)
-        roots = components(links)
+        roots = components(links.union(rest))
 
     member = table.select("u", "id", "same").join(lead, "same", "left")
     member = member.join(roots.select(F.col("u").alias("rep"), "root"), "rep", "left")
@@ -359,7 +383,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5, id_col:
     if carry:
         # Decisions move to the texts' buckets; the texts stay where they are.
         member = scratch(member, "classes")
-        for t in (lead, signed, pairs):
+        for t in (lead, signed, pairs, links):
             drop_scratch(t)
         release(spark)
         member = table.select("u", *[f"carry_{c}" for c in carry]).join(member.hint("shuffle_hash"), "u")

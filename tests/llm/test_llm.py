@@ -187,7 +187,7 @@ def test_radix_groups():
     assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
 
 
-@pytest.mark.parametrize("block", [2048, 16])
+@pytest.mark.parametrize("block", [512, 16])
 def test_near_duplicates_around_the_threshold(spark, monkeypatch, block):
     # A family most of whose pairs lie just below 0.8: firsts and neighbours of a bucket alone miss links.
     monkeypatch.setattr(near_dedup, "BLOCK", block)
