@@ -75,6 +75,12 @@ class Dialect:
     def split(self, c: str, by: str) -> str:
         return f"split({c}, '{by}')" if self.spark else f"string_split({c}, '{by}')"
 
+    def cat(self, a: str, b: str) -> str:
+        return f"concat({a}, {b})" if self.spark else f"list_concat({a}, {b})"
+
+    def at(self, a: str, i: str) -> str:
+        return f"element_at({a}, {i})" if self.spark else f"list_extract({a}, {i})"
+
     def sequence(self, a: str, b: str) -> str:
         return f"sequence({a}, {b})" if self.spark else f"generate_series({a}, {b})"
 
@@ -109,13 +115,15 @@ def plans(d: Dialect) -> dict[str, str]:
     out["dup_exact"] = "SELECT book_id, n FROM (SELECT book_id, count(*) OVER (PARTITION BY title, authors) AS n FROM books) t WHERE n > 1"
     out["dup_same_desc"] = f"SELECT md5(description) AS h, count(*) AS n_rows, {d.joined('CAST(book_id AS STRING)')} AS ids, count(DISTINCT title) AS titles, min(substring(description, 1, 80)) AS sample FROM books GROUP BY md5(description) HAVING count(*) > 1"
     tk = f"SELECT book_id, {key} AS k, {authors} AS al FROM books"
-    out["dup_title_author_pairs"] = f"SELECT DISTINCT a.book_id AS a, b.book_id AS b FROM (SELECT book_id, k, {d.explode}(al) AS author FROM ({tk}) t) a JOIN (SELECT book_id, k, {d.explode}(al) AS author FROM ({tk}) t) b ON a.k = b.k AND a.author = b.author AND a.book_id < b.book_id"
+    # A star per title and author instead of all pairs: the same components, and a hot title stays linear.
+    out["dup_title_author_pairs"] = f"SELECT DISTINCT a, b FROM (SELECT book_id AS b, min(book_id) OVER (PARTITION BY k, author) AS a FROM (SELECT book_id, k, {d.explode}(al) AS author FROM ({tk}) t) u) v WHERE a < b"
     out["title_keys"] = f"SELECT book_id, {key} AS title_key, {d.size}({authors}) AS n_authors FROM books"
     letters = d.replace("description", r"[^\p{L}]", "")
     foreign = d.replace("description", r"[^\p{L}]|[A-Za-z]", "")
-    out["lang_flag"] = f"""SELECT book_id, CAST(0.7 AS DOUBLE) * CASE WHEN n >= 30 THEN (1 - s / CAST(n AS DOUBLE)) / CAST(0.98 AS DOUBLE) ELSE CAST(0.63 AS DOUBLE) END
+    flagged = f"""SELECT book_id, title, description, CAST(0.7 AS DOUBLE) * CASE WHEN n >= 30 THEN (1 - s / CAST(n AS DOUBLE)) / CAST(0.98 AS DOUBLE) ELSE CAST(0.63 AS DOUBLE) END
         + CAST(0.3 AS DOUBLE) * (coalesce(f / CAST(nullif(l, 0) AS DOUBLE), CAST(0 AS DOUBLE)) / CAST(0.40 AS DOUBLE)) >= CAST(0.7 AS DOUBLE) AS flag
-        FROM (SELECT book_id, {d.size}(t) AS n, {d.size}({d.filter('t', 'x', d.has(d.array(STRICT), 'x'))}) AS s, length({foreign}) AS f, length({letters}) AS l FROM (SELECT book_id, description, {tokens} AS t FROM books) q) w"""
+        FROM (SELECT book_id, title, description, {d.size}(t) AS n, {d.size}({d.filter('t', 'x', d.has(d.array(STRICT), 'x'))}) AS s, length({foreign}) AS f, length({letters}) AS l FROM (SELECT book_id, title, description, {tokens} AS t FROM books) q) w"""
+    out["lang_flag"] = f"SELECT book_id, flag FROM ({flagged}) t"
     out["desc_groups"] = "SELECT book_id, count(*) OVER (PARTITION BY md5(description)) AS desc_group_size FROM books"
     out["future_year_decade"] = "SELECT book_id, CASE WHEN original_publication_year <= 2026 THEN original_publication_year END AS year, CAST(floor(original_publication_year / 10) * 10 AS BIGINT) AS decade FROM books"
     out["author_flips"] = "SELECT book_id, authors FROM books WHERE authors LIKE '%,%' ORDER BY book_id LIMIT 30"
@@ -127,11 +135,17 @@ def plans(d: Dialect) -> dict[str, str]:
     out["content_hash"] = f"SELECT count(*) AS n, min({row}) AS low, max({row}) AS high, count(DISTINCT {row}) AS kinds FROM books"
 
     # Lexical track
-    words = d.filter(d.split(f"concat({fold('title')}, ' ', {fold('title')}, ' ', {fold('description')})", " "), "x", f"x <> '' AND NOT {d.has(stop, 'x')}")
-    term = f"SELECT book_id, {d.explode}({words}) AS term FROM books"
+    own = lambda c: d.filter(d.split(fold(c), " "), "x", "x <> ''")
+    kept = d.filter(d.split(fold("CASE WHEN flag THEN '' ELSE coalesce(description, '') END"), " "), "x", f"x <> '' AND NOT {d.has(stop, 'x')}")
+    corpus = f"SELECT book_id, flag, {d.cat(d.cat(own('title'), own('title')), kept)} AS a FROM ({flagged}) fl"
+    out["tfidf_corpus"] = f"SELECT book_id, flag, {d.size}(a) AS tokens, md5({'array_join' if d.spark else 'array_to_string'}(a, ' ')) AS h FROM ({corpus}) t"
+    out["semantic_corpus"] = "SELECT book_id, md5(trim(concat(title, chr(10), description))) AS h FROM books"
+    # Words and pairs of neighbours; the title counts twice, flagged descriptions are left out.
+    pair = d.map(d.filter(d.sequence("1", f"greatest({d.size}(a) - 1, 1)"), "i", f"i < {d.size}(a)"), "i", f"{d.at('a', 'i')} || ' ' || {d.at('a', 'i + 1')}")
+    term = f"SELECT book_id, {d.explode}({d.cat('a', pair)}) AS term FROM ({corpus}) c"
     n_all = "(SELECT count(*) AS n FROM books)"
-    tfidf = f"""tf AS (SELECT book_id, term, count(*) AS c FROM ({term}) t GROUP BY book_id, term), dfq AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-        idf AS (SELECT term, df, ln((1 + n) / CAST(1 + df AS DOUBLE)) + 1 AS idf FROM dfq CROSS JOIN {n_all} a WHERE df >= 5 AND df <= 0.9 * n),
+    tfidf = f"""tf AS (SELECT book_id, term, count(*) AS c FROM ({term}) t GROUP BY book_id, term), dfq AS (SELECT term, count(*) AS df, sum(c) AS cf FROM tf GROUP BY term),
+        idf AS (SELECT term, df, ln((1 + n) / CAST(1 + df AS DOUBLE)) + 1 AS idf FROM dfq CROSS JOIN {n_all} a WHERE df >= 5 AND df <= 0.9 * n ORDER BY cf DESC, term LIMIT 120000),
         w0 AS (SELECT book_id, tf.term, (1 + ln(c)) * idf AS w FROM tf JOIN idf ON tf.term = idf.term),
         lex AS (SELECT w0.book_id, term, w / nrm AS w FROM w0 JOIN (SELECT book_id, sqrt(sum(w * w)) AS nrm FROM w0 GROUP BY book_id) q ON w0.book_id = q.book_id)"""
     out["tfidf_weights"] = f"WITH {tfidf} SELECT book_id, count(*) AS terms, round(sum(w), 5) AS total, round(max(w), 6) AS top FROM lex GROUP BY book_id"
@@ -229,10 +243,58 @@ def plans(d: Dialect) -> dict[str, str]:
     out["random_seeds"] = f"SELECT book_id, {order(7, 'book_id')} AS h FROM books ORDER BY h LIMIT 50"
     out["negative_samples"] = f"""WITH s AS (SELECT book_id, description FROM books WHERE book_id % 100 = 0) SELECT seed, cand FROM (SELECT s.book_id AS seed, b.book_id AS cand, row_number() OVER (PARTITION BY s.book_id ORDER BY md5(CAST(s.book_id AS STRING) || ':' || CAST(b.book_id AS STRING)), b.book_id) AS rk
         FROM s JOIN books b ON s.book_id <> b.book_id AND s.description <> b.description) t WHERE rk <= 5"""
-    out["positive_sets"] = "SELECT seed, cand FROM (SELECT seed, cand, row_number() OVER (PARTITION BY seed ORDER BY cand) AS rk FROM (SELECT a.book_id AS seed, b.book_id AS cand FROM books a JOIN books b ON md5(a.description) = md5(b.description) AND a.book_id <> b.book_id UNION SELECT a.book_id, b.book_id FROM books a JOIN books b ON a.authors = b.authors AND a.book_id <> b.book_id) u) t WHERE rk <= 5"
+    # The first five others of a group are among its first six, so groups are cut before they are joined.
+    out["positive_sets"] = """WITH g AS (SELECT book_id, 'd' AS kind, md5(description) AS k FROM books UNION ALL SELECT book_id, 'a', authors FROM books),
+        head AS (SELECT * FROM (SELECT book_id, kind, k, row_number() OVER (PARTITION BY kind, k ORDER BY book_id) AS rk FROM g) t WHERE rk <= 6)
+        SELECT seed, cand FROM (SELECT seed, cand, row_number() OVER (PARTITION BY seed ORDER BY cand) AS rk FROM (SELECT DISTINCT g.book_id AS seed, h.book_id AS cand FROM g JOIN head h ON g.kind = h.kind AND g.k = h.k AND g.book_id <> h.book_id) u) t WHERE rk <= 5"""
     first = lambda name, cond, by: f"SELECT '{name}' AS why, min(book_id) AS book_id FROM books WHERE {cond}" if not by else f"SELECT '{name}' AS why, book_id FROM (SELECT book_id FROM books WHERE {cond} ORDER BY {by} LIMIT 1) t_{name}"
     out["seed_picker"] = " UNION ALL ".join([first("pre1900", "original_publication_year < 1900", ""), first("modern", "original_publication_year >= 2000", ""), first("no_image", "image_url LIKE '%nophoto%'", ""), first("top_rated", "average_rating IS NOT NULL", "average_rating DESC, length(description) DESC, book_id")])
     out["scorecard"] = """WITH s AS (SELECT * FROM (VALUES ('tfidf', 0.8, 0.4, 0.3), ('semantic', 0.9, 0.5, 0.0), ('authors', 0.6, 0.7, 0.5), ('numerics', 0.5, 0.1, 0.6), ('image', 0.7, 0.2, 0.9)) AS t(track, stab, sep, uniq)),
         r AS (SELECT track, least(greatest(0, CAST(0.5 * stab + 0.3 * sep + 0.2 * uniq AS DOUBLE)), CAST(CASE WHEN track = 'image' THEN 0.1 ELSE 0.6 END AS DOUBLE)) AS raw FROM s) SELECT track, round(raw / sum(raw) OVER (), 6) AS recommended FROM r"""
     out["dataset_manifest"] = "SELECT count(*) AS n_rows, round(avg(CASE WHEN image_url LIKE '%nophoto%' THEN CAST(1 AS DOUBLE) ELSE 0 END), 6) AS no_cover, count(DISTINCT md5(description)) AS kinds FROM books"
+
+    # Look-ups, profiles and reports
+    out["id_lookup"] = "SELECT book_id, title, authors FROM books WHERE book_id = 100"
+    out["exact_title_lookup"] = "SELECT min(book_id) AS book_id FROM books JOIN (SELECT lower(trim(title)) AS q FROM books WHERE book_id = 100) t ON lower(trim(title)) = q"
+    out["profile_categorical"] = " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, (SELECT count({c}) FROM books) AS n, (SELECT count(DISTINCT {c}) FROM books) AS kinds, v AS top, f AS freq FROM (SELECT {c} AS v, count(*) AS f FROM books WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY f DESC, v LIMIT 1) t_{c}"
+        for c in ("language_code", "authors", "image_url")
+    )
+    out["feature_ratios"] = """SELECT round(avg(CASE WHEN original_publication_year IS NULL THEN CAST(1 AS DOUBLE) ELSE 0 END), 6) AS year_nan, round(count(DISTINCT authors) / CAST(count(*) AS DOUBLE), 6) AS author_unique,
+        round(max(top) / CAST(count(*) AS DOUBLE), 6) AS language_top_share, median(length(description)) AS median_length FROM books CROSS JOIN (SELECT max(n) AS top FROM (SELECT count(*) AS n FROM books GROUP BY language_code) g) t"""
+    out["lognormalish"] = """SELECT round(sum(z * z * z) / count(*), 6) AS skew, sum(z * z * z) / count(*) > 1 AS lognormalish FROM (SELECT (length(description) - m) / s AS z FROM books CROSS JOIN
+        (SELECT avg(length(description)) AS m, stddev_pop(length(description)) AS s FROM books) a) t"""
+    out["dedupe_summary"] = """SELECT count(*) AS n_rows, round(100 * avg(CASE WHEN e > 1 THEN CAST(1 AS DOUBLE) ELSE 0 END), 4) AS exact_pct, round(100 * avg(CASE WHEN s > 1 THEN CAST(1 AS DOUBLE) ELSE 0 END), 4) AS shared_pct
+        FROM (SELECT count(*) OVER (PARTITION BY title, authors) AS e, count(*) OVER (PARTITION BY md5(description)) AS s FROM books) t"""
+    twos = lambda k: f"SELECT sum(n * (n - 1) / CAST(2 AS DOUBLE)) AS p FROM (SELECT CAST(count(*) AS DOUBLE) AS n FROM books GROUP BY {k}) t"
+    out["pair_masks"] = f"SELECT a.p AS same_authors, s.p AS same_description, t.p - a.p AS other_authors FROM ({twos('authors')}) a CROSS JOIN ({twos('md5(description)')}) s CROSS JOIN ({twos('1 = 1')}) t"
+    out["authors_changed"] = f"SELECT round(avg(CASE WHEN authors <> lower(trim(authors)) THEN CAST(1 AS DOUBLE) ELSE 0 END), 6) AS lowered, round(avg(CASE WHEN {d.size}({authors}) > 1 THEN CAST(1 AS DOUBLE) ELSE 0 END), 6) AS several FROM books"
+    out["coverage_gates"] = f"""SELECT image, image >= 0.3 AS image_ok, genre, genre >= 0.1 AS genre_ok, genre >= 0.05 AS genre_usable FROM (SELECT round(avg(CASE WHEN image_url IS NULL OR lower(image_url) LIKE '%nophoto%' THEN CAST(0 AS DOUBLE) ELSE 1 END), 6) AS image,
+        round(avg(CASE WHEN e.vec_id IS NULL THEN CAST(0 AS DOUBLE) ELSE 1 END), 6) AS genre FROM books LEFT JOIN embeddings e ON book_id = e.vec_id) t"""
+    out["tfidf_sparsity"] = f"WITH {tfidf}, nnz AS (SELECT book_id, count(*) AS n FROM lex GROUP BY book_id) SELECT count(*) AS n_rows, round(avg(coalesce(n, 0)), 6) AS mean_nnz, round(avg(CASE WHEN coalesce(n, 0) < 3 THEN CAST(1 AS DOUBLE) ELSE 0 END), 6) AS ultra_sparse FROM books LEFT JOIN nnz ON books.book_id = nnz.book_id"
+    end = lambda name, way: f"SELECT '{name}' AS which, term, df, idf FROM (SELECT term, df, round(idf, 6) AS idf FROM idf ORDER BY df {way}, term LIMIT 20) t_{name}"
+    out["tfidf_extremes"] = f"WITH {tfidf} {end('rare', 'ASC')} UNION ALL {end('common', 'DESC')}"
+
+    # Diagnostics and selection over the same scores
+    out["author_dominance"] = f"""WITH {emb}, {sem}, {inc}, near AS ({top.format('sem')}), hit AS (SELECT DISTINCT seed, cand FROM near JOIN inc a ON seed = a.book_id JOIN inc b ON cand = b.book_id AND a.author = b.author)
+        SELECT near.seed, count(hit.cand) / CAST(count(*) AS DOUBLE) AS share, count(hit.cand) > 0.6 * count(*) AS dominated FROM near LEFT JOIN hit ON near.seed = hit.seed AND near.cand = hit.cand GROUP BY near.seed"""
+    features = " UNION ALL ".join(f"SELECT book_id, 'f{k}' AS feature, CAST(f{k} AS DOUBLE) / nrm AS v FROM nn" for k in range(1, 9))
+    out["numeric_contrib"] = f"WITH {ranked}, nf AS ({features}) SELECT seed, cand, a.feature, round(a.v * b.v, 6) AS contrib FROM ranked JOIN nf a ON seed = a.book_id JOIN nf b ON cand = b.book_id AND a.feature = b.feature WHERE rk <= 5"
+    part = lambda t: f"round(sum(CASE WHEN p.track = '{t}' THEN p.pct * wt.w ELSE 0 END), 6) AS {t}_part"
+    out["explain_table"] = f"WITH {ranked} SELECT r.seed, r.cand, r.rk, {part('semantic')}, {part('authors')}, {part('numerics')}, round(sum(p.pct * wt.w), 6) AS fused_sum FROM ranked r JOIN pct p ON r.seed = p.seed AND r.cand = p.cand JOIN wt ON p.track = wt.track WHERE r.rk <= 5 GROUP BY r.seed, r.cand, r.rk"
+    out["best_weights"] = f"SELECT g, yearflag FROM ({out['grid_eval']}) t ORDER BY yearflag DESC, g LIMIT 1"
+    settings = [("fusion", 0.4, 0.2, 0.1), ("no_semantic", 0, 0.2, 0.1), ("no_authors", 0.4, 0, 0.1), ("no_numerics", 0.4, 0.2, 0), ("semantic", 1, 0, 0), ("authors", 0, 1, 0), ("numerics", 0, 0, 1)]
+    grid_of = " UNION ALL ".join(f"SELECT '{g}' AS g, CAST({x} AS DOUBLE) AS ws, CAST({y} AS DOUBLE) AS wa, CAST({z} AS DOUBLE) AS wn" for g, x, y, z in settings)
+    # A seed without vectors has no semantic track: its weights are spread over the rest, evenly if nothing is left.
+    variants = f"""{scores}, grid AS ({grid_of}), wide AS (SELECT seed, cand, sum(CASE WHEN track = 'semantic' THEN pct ELSE 0 END) AS ps, sum(CASE WHEN track = 'authors' THEN pct ELSE 0 END) AS pa, sum(CASE WHEN track = 'numerics' THEN pct ELSE 0 END) AS pn FROM pct GROUP BY seed, cand),
+        has AS (SELECT DISTINCT seed, 1 AS s FROM sem), mixed AS (SELECT g, w.seed, cand, row_number() OVER (PARTITION BY g, w.seed ORDER BY round(coalesce((ps * ws + pa * wa + pn * wn) / nullif(coalesce(s, 0) * ws + wa + wn, 0), (pa + pn) / 2), 6) DESC, cand) AS rk FROM wide w CROSS JOIN grid LEFT JOIN has ON w.seed = has.seed),
+        flags AS (SELECT g, seed, avg(CAST({era} AS DOUBLE)) AS yf FROM mixed JOIN num a ON seed = a.book_id JOIN num b ON cand = b.book_id WHERE rk <= 10 GROUP BY g, seed)"""
+    out["ablation"] = f"WITH {variants} SELECT g, round(avg(yf), 6) AS yearflag FROM flags GROUP BY g"
+    out["seed_winners"] = f"WITH {variants} SELECT seed, g, round(yf, 6) AS yearflag FROM (SELECT seed, g, yf, row_number() OVER (PARTITION BY seed ORDER BY round(yf, 9) DESC, g) AS rk FROM flags WHERE g IN ('fusion', 'semantic', 'authors', 'numerics')) t WHERE rk = 1"
+    out["worst_seeds"] = f"WITH {variants} SELECT seed, round(yf, 6) AS yearflag FROM flags WHERE g = 'fusion' ORDER BY yearflag, seed LIMIT 20"
+    out["group_eval"] = f"""WITH {variants} SELECT CASE WHEN original_publication_year < 1900 OR image_url LIKE '%nophoto%' THEN 'outlier' ELSE 'random' END AS seed_group, count(*) AS n, round(avg(yf), 6) AS yearflag
+        FROM flags JOIN books ON seed = book_id WHERE g = 'fusion' GROUP BY 1"""
+    out["uniqueness"] = f"SELECT pair, round(1 - jaccard, 6) AS uniqueness, CASE WHEN jaccard > 0.6 THEN 'redundant' WHEN jaccard < 0.1 THEN 'complementary' ELSE 'moderate' END AS verdict FROM ({out['agreement']}) t"
+    out["weight_deltas"] = f"SELECT t.track, round(recommended - w, 6) AS delta FROM ({out['scorecard']}) t JOIN (SELECT * FROM (VALUES ('tfidf', 0.3), ('semantic', 0.4), ('authors', 0.2), ('numerics', 0.1), ('image', 0.0)) AS b(track, w)) base ON t.track = base.track WHERE abs(recommended - w) >= 0.05"
+    out["interpretability_seeds"] = " UNION ALL ".join([first("shortest", "description IS NOT NULL", "length(description), book_id"), first("longest", "description IS NOT NULL", "length(description) DESC, book_id"), first("fewest_authors", "authors IS NOT NULL", f"{d.size}({authors}), book_id"), first("no_cover", "image_url LIKE '%nophoto%'", "book_id"), first("oldest", "original_publication_year IS NOT NULL", "original_publication_year, book_id")])
     return out
