@@ -1,34 +1,34 @@
 """Cross-entropy difference of two n-gram models with one vocabulary.
 
-Tokens are bytes of the text, ASCII lower-cased, in a vocabulary of VOCAB symbols: white space, the most frequent
-other bytes of the whole corpus, and one symbol for the rest. The target model counts the documents labelled good,
-the background model all documents; both have the same order, vocabulary and interpolated Witten-Bell smoothing, and
-the background's counts are scaled to the target's mass, so that both are smoothed alike. The score of a document is
-the mean over its tokens of target loss minus background loss, in bits: below 0 it is more like the target.
+Tokens are the bytes of the text; all 256 are symbols of their own, and a start symbol stands before a text. The
+target model counts the documents labelled good, the background model all documents; both have the same order,
+vocabulary and interpolated Witten-Bell smoothing, and the background's counts are scaled to the target's mass, so
+that both are smoothed alike. The score of a document is the mean over its tokens of target loss minus background
+loss, in bits: below 0 it is more like the target.
+
+Counts are distributed tables of the n-grams that occur. Texts lie in blocks; a block asks for its distinct n-grams
+once, and the answers are joined to it, so neither the driver nor a task ever holds the whole model.
+`symbols` and `model` are the dense form over few symbols, with which tests compare the smoothing.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, buffers, chunks, ship
+from .common import LOWER, bucketed, buffers, chunks, parts_for, scratch, ship
 
 VOCAB, ORDER = 48, 4
+#: Symbols of the scored model: the start of a text and every byte.
+SYMBOLS = 257
+_BYTES = np.arange(1, SYMBOLS, dtype=np.int64)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _CHUNK = 4 << 20
 
 
-def _byte_counts(batches):
-    total = np.zeros(256, np.int64)
-    for b in batches:
-        total += np.bincount(LOWER[buffers(b.column("text"))[0]], minlength=256)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["byte", "n"])
-
-
 def symbols(counts: dict[int, int], vocab: int = VOCAB) -> np.ndarray:
     """Symbol of each byte: 0 start of text, 1 white space, 2 ... the most frequent bytes, vocab - 1 all others."""
     out = np.full(256, vocab - 1, np.int32)
@@ -53,21 +53,27 @@ def grams(raw: np.ndarray, off: np.ndarray, table: np.ndarray, vocab: int = VOCA
     return doc, code
 
 
-def _count(batches, table, vocab, order):
-    table = table.value
-    seen = [np.zeros(vocab**order, np.int64) for _ in range(2)]
-    for b in batches:
-        raw, off = buffers(b.column("text"))
-        good = b.column("good").to_numpy(zero_copy_only=False).astype(bool)
+def _block_counts(docs: pa.Table, marks: pa.Table) -> pa.Table:
+    """Counts of a block's distinct n-grams, in its target documents and in all."""
+    found = [np.zeros((0, 3), np.int64)]
+    if docs.num_rows:
+        raw, off = buffers(docs.column("text"))
+        good = np.zeros(docs.num_rows, bool)
+        if marks.num_rows:
+            good = pc.is_in(docs.column("rid"), value_set=marks.column("gid").combine_chunks()).to_numpy().astype(bool)
         for lo, hi in chunks(off, _CHUNK):
-            doc, code = grams(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], table, vocab, order)
-            seen[1] += np.bincount(code, minlength=len(seen[1]))
+            doc, code = grams(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], _BYTES, SYMBOLS)
+            at, n = np.unique(code, return_counts=True)
+            t = np.zeros_like(n)
             if good[lo:hi].any():
-                seen[0] += np.bincount(code[good[lo:hi][doc]], minlength=len(seen[0]))
-    at = np.flatnonzero(seen[1])
-    for lo in range(0, len(at), 200_000):
-        x = at[lo : lo + 200_000]
-        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)), pa.array(seen[0][x]), pa.array(seen[1][x])], ["code", "target", "background"])
+                u, m = np.unique(code[good[lo:hi][doc]], return_counts=True)
+                t[np.searchsorted(at, u)] = m
+            found.append(np.c_[at, t, n])
+    every = np.concatenate(found)
+    code, into = np.unique(every[:, 0], return_inverse=True)
+    t, b = (np.bincount(into, weights=every[:, k], minlength=len(code)).astype(np.int64) for k in (1, 2))
+    block = docs.column("block")[0].as_py() if docs.num_rows else 0
+    return pa.table({"block": pa.array(np.full(len(code), block, np.int64)), "code": pa.array(code), "target": pa.array(t), "background": pa.array(b)})
 
 
 def model(codes: np.ndarray, counts: np.ndarray, scale: float, vocab: int = VOCAB, order: int = ORDER) -> np.ndarray:
@@ -88,41 +94,63 @@ def model(codes: np.ndarray, counts: np.ndarray, scale: float, vocab: int = VOCA
     return np.log2(p)
 
 
-def _score(batches, table, diff, vocab, order):
-    table, diff = table.value, diff.value
-    for b in batches:
-        raw, off = buffers(b.column("text"))
-        total = np.zeros(b.num_rows)
+def differences(counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """(code, diff): target loss minus background loss, in bits, of every n-gram of counts (code, target, background)."""
+    total = counts.agg(F.sum("target"), F.sum("background")).first()
+    scale = F.lit((total[0] or 0) / (total[1] or 1))
+    tables = {order: counts}
+    for k in range(order - 1, 0, -1):
+        tables[k] = tables[k + 1].groupBy((F.col("code") % SYMBOLS**k).alias("code")).agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+    out = None
+    for k in range(1, order + 1):
+        t = tables[k].withColumn("history", F.expr(f"code div {SYMBOLS}"))
+        kinds = lambda c: F.sum((F.col(c) > 0).cast("int"))
+        seen = t.groupBy("history").agg(F.sum("target").alias("mt"), F.sum("background").alias("mb"), kinds("target").alias("kt"), kinds("background").alias("kb"))
+        t = t.join(seen, "history")
+        if out is None:
+            t = t.withColumns({"lt": F.lit(1 / SYMBOLS), "lb": F.lit(1 / SYMBOLS)})
+        else:
+            t = t.withColumn("tail", F.col("code") % SYMBOLS ** (k - 1)).join(out.select(F.col("code").alias("tail"), F.col("pt").alias("lt"), F.col("pb").alias("lb")), "tail")
+        pt = F.when(F.col("kt") > 0, (F.col("target") + F.col("kt") * F.col("lt")) / (F.col("mt") + F.col("kt"))).otherwise(F.col("lt"))
+        pb = (F.col("background") * scale + F.col("kb") * F.col("lb")) / (F.col("mb") * scale + F.col("kb"))
+        out = t.select("code", pt.alias("pt"), pb.alias("pb"))
+    return out.select("code", (F.log2("pb") - F.log2("pt")).alias("diff"))
+
+
+def _block_scores(docs: pa.Table, known: pa.Table) -> pa.Table:
+    """Scores of a block's documents; known holds all of its n-grams."""
+    total = np.zeros(docs.num_rows)
+    raw, off = buffers(docs.column("text"))
+    if len(raw):
+        codes, diff = known.column("code").to_numpy(), known.column("diff").to_numpy()
+        order = np.argsort(codes)
+        codes, diff = codes[order], diff[order]
         for lo, hi in chunks(off, _CHUNK):
-            doc, code = grams(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], table, vocab, order)
-            total[lo:hi] = np.bincount(doc, weights=diff[code], minlength=hi - lo)
-        n = np.diff(off)
-        yield pa.RecordBatch.from_arrays([b.column("rid"), pa.array(n), pa.array(total / np.maximum(n, 1))], ["rid", "n_tokens", "ce_diff"])
+            doc, code = grams(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], _BYTES, SYMBOLS)
+            total[lo:hi] = np.bincount(doc, weights=diff[np.searchsorted(codes, code)], minlength=hi - lo)
+    n = np.diff(off)
+    return pa.table({"rid": docs.column("rid"), "n_tokens": pa.array(n), "ce_diff": pa.array(total / np.maximum(n, 1))})
 
 
 def cross_entropy_difference(docs: DataFrame, good: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ce_diff) per row; `good` holds the ids (column id_col) of the target documents.
 
-    Counts cover every byte of every document. The tables have at most VOCAB ** ORDER cells, the proven bound of
-    what is gathered and broadcast; what tasks send grows with the corpus. Null and empty texts score 0 with 0
-    tokens; without a target document both models are the background; ids in `good` may repeat; repeated rows count
-    and are scored each; an empty table gives an empty result; other columns are ignored.
+    Counts cover every byte of every document, and the tables hold every n-gram that occurs, so what is gathered grows
+    with the corpus. Null and empty texts score 0 with 0 tokens; without a target document both models are the
+    background; ids in `good` may repeat; repeated rows count and are scored each; an empty table gives an empty
+    result; other columns are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
+    kind = docs.select(id_col).dtypes[0][1]
     rows = docs.select(F.col(id_col).alias("rid"), F.col(text_col).alias("text"))
-    got = rows.select("text").mapInArrow(_byte_counts, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()
-    table = spark.sparkContext.broadcast(symbols({r[0]: r[1] for r in got}))
-    marks = good.select(F.col(id_col).alias("gid")).where(F.col("gid").isNotNull()).distinct().withColumn("good", F.lit(True))
-    # Labels grow with the corpus, so they are never broadcast: texts move once, at every size.
-    marked = rows.join(marks.hint("shuffle_hash"), F.col("rid") == F.col("gid"), "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
-    counted = marked.mapInArrow(lambda it: _count(it, table, VOCAB, ORDER), "code int, target long, background long")
-    t = counted.groupBy("code").agg(F.sum("target").alias("target"), F.sum("background").alias("background")).toArrow()
-    code, target, background = (t.column(c).to_numpy().astype(np.int64) for c in ("code", "target", "background"))
-    if target.sum() and len(code):
-        diff = model(code, background, target.sum() / background.sum()) - model(code, target, 1.0)
-    else:
-        diff = np.zeros(VOCAB**ORDER, np.float32)
-    sent = spark.sparkContext.broadcast(diff.astype(np.float32))
-    kind = rows.dtypes[0][1]
-    return rows.mapInArrow(lambda it: _score(it, table, sent, VOCAB, ORDER), f"rid {kind}, n_tokens long, ce_diff double").withColumnRenamed("rid", id_col)
+    n = parts_for(rows)
+    block = lambda key: F.pmod(F.xxhash64(key), F.lit(4 * n)).cast("long")
+    # Texts move once; rows without an id are dealt by their text.
+    table = bucketed(rows.withColumn("block", block(F.coalesce(F.col("rid").cast("string"), F.col("text")))), "block", n, "blocks")
+    marks = good.select(F.col(id_col).cast(kind).alias("gid")).where(F.col("gid").isNotNull()).distinct().withColumn("block", block(F.col("gid").cast("string")))
+    asked = scratch(table.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_block_counts, "block long, code long, target long, background long"), "grams")
+    counts = scratch(asked.groupBy("code").agg(F.sum("target").alias("target"), F.sum("background").alias("background")), "counts")
+    known = asked.select("block", "code").join(differences(counts), "code").select("block", "code", "diff")
+    scored = table.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_block_scores, f"rid {kind}, n_tokens long, ce_diff double")
+    return scored.withColumnRenamed("rid", id_col)

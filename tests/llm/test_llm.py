@@ -318,6 +318,36 @@ def test_lm_scores_separate(spark):
     assert got[got.quality == 1].ce_diff.quantile(0.95) < got[got.quality == 0].ce_diff.quantile(0.05)
 
 
+def test_lm_scores_every_byte(spark):
+    texts = ["tel 12-34 @home", "tel 56=78 'x' j", "Привет мир", "мир и дом", "日本語の本", "日本の家", "the quiet house " * 40, "The House", "", None, "a\tb\nc"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    good, v = {0, 2, 4, 6}, 257
+    got = {r.doc_id: r for r in lm_scoring.cross_entropy_difference(frame, spark.createDataFrame([(i,) for i in good] + [(2,)], "doc_id long")).collect()}
+    seqs = [[0, 0, 0, *(b + 1 for b in (t or "").encode())] for t in texts]
+    count = [collections.Counter(), collections.Counter()]
+    for d, s in enumerate(seqs):
+        for i in range(3, len(s)):
+            for k in range(1, 5):
+                for m in (0, 1) if d in good else (1,):
+                    count[m][tuple(s[i - k + 1 : i + 1])] += 1
+    size = [sum(n for g, n in c.items() if len(g) == 1) for c in count]
+    after = [collections.defaultdict(list), collections.defaultdict(list)]
+    for m in (0, 1):
+        for g, n in count[m].items():
+            after[m][g[:-1]].append(n)
+
+    def p(m, g):
+        if not g:
+            return 1 / v
+        scale, c = (1, size[0] / size[1])[m], after[m].get(g[:-1], []) if len(g) > 1 else [n for h, n in count[m].items() if len(h) == 1]
+        return (scale * count[m][g] + len(c) * p(m, g[1:])) / (scale * sum(c) + len(c)) if c else p(m, g[1:])
+
+    for d, s in enumerate(seqs):
+        want = [np.log2(p(1, tuple(s[i - 3 : i + 1])) / p(0, tuple(s[i - 3 : i + 1]))) for i in range(3, len(s))]
+        assert got[d].n_tokens == len(want) and got[d].ce_diff == pytest.approx(float(np.mean(want)) if want else 0, rel=1e-6, abs=1e-9)
+    assert len(got) == len(texts)
+
+
 def test_webp_round_trips():
     rng = np.random.default_rng(0)
     for t in range(25):
