@@ -3,7 +3,7 @@
 Texts are cut into units: words with their inner punctuation, and runs of single characters read as one word
 ("i d i o t"). The gap-weighted subsequence kernel counts common subsequences of ORDER letters, each weighted by
 DECAY to the span it covers, so inserted characters and gaps lower a match instead of breaking it. Landmarks are
-units of the training sentences; a unit's kernel row to them, times the inverse root of the landmarks' own kernel
+all units of the training sentences that a significance test finds typical of toxic texts; a unit's kernel row to them, times the inverse root of the landmarks' own kernel
 matrix, is its Nyström feature vector. A text is as toxic as its most toxic unit, and the machine is trained that way:
 the hinge loss of each labelled text is taken at its highest unit. A logistic fit turns margins into scores.
 """
@@ -15,6 +15,7 @@ import uuid
 import zlib
 from collections import Counter
 from functools import cache
+from math import exp, lgamma, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,13 @@ from pyspark.sql import functions as F
 
 from .common import CHUNK_BYTES, buffers, chunks, kept, ship
 
-ORDER, DECAY, LANDMARKS = 4, 0.9, 16
+ORDER, DECAY = 4, 0.9
+#: Shortest unit. Units shorter than ORDER are compared with a kernel of their own length as order.
+LEAST = 2
+#: Share of landmarks that may be there by chance (false discovery rate).
+CHANCE = 0.01
+#: Weight in training of all landmarks as texts of their own (labelled texts weigh 1).
+ALONE = 0.02
 #: Longest unit that is compared whole; longer ones are compared in overlapping parts.
 UNIT = 24
 _SPACED = re.compile(r"(?<!\S)\S(?:[ .\-_*]\S){2,}(?!\S)")
@@ -85,10 +92,10 @@ def kernel(units: np.ndarray, marks: np.ndarray, order: int = ORDER, decay: floa
 
 
 @cache
-def norm(size: int) -> float:
+def norm(size: int, order: int = ORDER) -> float:
     """Root of the kernel of a string of distinct letters with itself: the norm given to all strings of that length."""
     word = np.arange(size, dtype=np.int32)[None]
-    return float(np.sqrt(kernel(word, word)[0, 0]))
+    return float(np.sqrt(kernel(word, word, order)[0, 0]))
 
 
 class Model:
@@ -106,27 +113,30 @@ class Model:
                 for p, c in enumerate(name):
                     self.bits[np.searchsorted(self.letters, ord(c)), k] |= np.uint32(1 << p)
             self.full = np.array([(1 << len(m)) - 1 for m in marks], np.uint32)
-            self.own = np.array([norm(len(m)) for m in marks], np.float32)
+            self.order = np.minimum(np.fromiter(map(len, marks), np.int64, len(marks)), ORDER)
+            self.own = np.array([norm(len(m), int(k)) for m, k in zip(marks, self.order, strict=True)], np.float32)
             w = self.rows(marks)
             w = (w + w.T) / 2
             val, vec = np.linalg.eigh(w.astype(np.float64))
-            self.root = vec @ np.diag(1 / np.sqrt(np.maximum(val, 1e-6))) @ vec.T
+            # Directions in which the landmarks hardly differ are left out: their inverse is noise.
+            self.root = vec @ np.diag(np.where(val > 1e-3, 1 / np.sqrt(np.maximum(val, 1e-3)), 0)) @ vec.T
 
     def rows(self, units: list[str]) -> np.ndarray:
         """Normalised kernel rows of units to the landmarks.
 
-        The kernel is zero unless a unit and a landmark have a common subsequence of ORDER letters; a bit-parallel
+        The kernel is zero unless a unit and a landmark have a common subsequence of ORDER letters, or of all letters
+        of a shorter landmark; a bit-parallel
         longest-common-subsequence pass finds the pairs that do, and only those are worked out.
         """
         out = np.zeros((len(units), len(self.names)), np.float32)
         if not self.names:
             return out
         size = np.fromiter(map(len, units), np.int64, len(units))
-        order = np.argsort(size, kind="stable")
+        by_size = np.argsort(size, kind="stable")
         for width in np.unique(size):
-            if width < ORDER:
+            if width < LEAST:
                 continue
-            pick = order[np.searchsorted(size[order], width) : np.searchsorted(size[order], width, side="right")]
+            pick = by_size[np.searchsorted(size[by_size], width) : np.searchsorted(size[by_size], width, side="right")]
             for lo in range(0, len(pick), 8192):
                 at = pick[lo : lo + 8192]
                 code = _codes([units[i] for i in at], int(width), -1)
@@ -138,11 +148,12 @@ class Model:
                     u = v & m
                     v = (v + u) | (v - u)
                 lcs = np.bitwise_count(~v & self.full)
-                i, k = np.nonzero(lcs >= ORDER)
-                for a in range(0, len(i), 4096):
-                    ia, ka = i[a : a + 4096], k[a : a + 4096]
-                    out[at[ia], ka] = kernel(code[ia], self.marks[ka][:, None, :])[:, 0]
-                out[at] /= np.float32(norm(int(width))) * self.own
+                i, k = np.nonzero(lcs >= self.order)
+                for order in np.unique(self.order[k]):
+                    io, ko = (x[self.order[k] == order] for x in (i, k))
+                    for a in range(0, len(io), 4096):
+                        ia, ka = io[a : a + 4096], ko[a : a + 4096]
+                        out[at[ia], ka] = kernel(code[ia], self.marks[ka][:, None, :], int(order))[:, 0] / (np.float32(norm(int(width), int(order))) * self.own[ka])
         return out
 
     def margins(self, units: list[str]) -> np.ndarray:
@@ -168,12 +179,32 @@ def _groups(bags: list[set[str]]) -> list[bool]:
     return out
 
 
-def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, rounds: int = 250, penalty: float = 1e-4) -> Model:
+def typical(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int, chance: float = CHANCE) -> list[str]:
+    """Units that occur in toxic texts more often than their share of the texts explains, and in more of them than in clean ones.
+
+    One-sided binomial test of each unit, with the step-up bound of Benjamini and Hochberg over the units that occur
+    often enough to pass at all; so their number follows the data, and a rare unit isn't measured by a common one.
+    """
+    q = n_toxic / (n_toxic + n_clean)
+    tail: dict[tuple[int, int], float] = {}
+
+    def p(c: int, n: int) -> float:
+        if (c, n) not in tail:
+            tail[c, n] = sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * log(q) + (n - k) * log1p(-q)) for k in range(c, n + 1))
+        return tail[c, n]
+
+    tests = sum(1 for u in toxic.keys() | clean.keys() if LEAST <= len(u) <= UNIT and q ** (toxic[u] + clean[u]) <= chance)
+    found = sorted((p(c, c + clean[u]), u) for u, c in toxic.items() if LEAST <= len(u) <= UNIT and c > clean[u])
+    last = max((k for k, (x, _) in enumerate(found, 1) if x <= chance * k / tests), default=0) if tests else 0
+    return [u for _, u in found[:last]]
+
+
+def train(texts: list[str], labels: list[int], rounds: int = 250, penalty: float = 1e-4) -> Model:
     """Fit on labelled texts; equal texts count once, by the mean of their labels."""
     by_text: dict[str, list[int]] = {}
     for t, y in zip(texts, labels, strict=True):
         by_text.setdefault(t, []).append(y)
-    bags = [{u for tok in tokens(t) for u in parts(tok) if len(u) >= ORDER} for t in by_text]
+    bags = [{u for tok in tokens(t) for u in parts(tok) if len(u) >= LEAST} for t in by_text]
     y = np.array([1 if 2 * sum(v) >= len(v) else 0 for v in by_text.values()])
     n_pos = int(y.sum())
     if not n_pos or n_pos == len(y):
@@ -182,49 +213,52 @@ def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, round
         return model
     seen = [Counter(), Counter()]
     whole = [Counter(), Counter()]
-    for bag, label, group in zip(bags, y, _groups(bags), strict=True):
+    groups = _groups(bags)
+    told_apart = [int((y[groups] == k).sum()) for k in (1, 0)]
+    for bag, label, group in zip(bags, y, groups, strict=True):
         whole[label].update(bag)
         if group:
             seen[label].update(bag)
     n_neg = len(y) - n_pos
-    # Landmarks: the units most typical of the toxic texts, by the lower end of their share among those.
-    gain = {u: c / n_pos - seen[0][u] / n_neg - 2 * (c**0.5) / n_pos for u, c in seen[1].items() if c >= 3 and len(u) <= UNIT}
-    least = max(gain.values(), default=0.0) / 5
-    best = [u for u in sorted(gain, key=lambda u: (-gain[u], u)) if gain[u] > max(least, 0)][:landmarks]
+    best = typical(seen[1], seen[0], *told_apart)
     model = Model(best)
     names = sorted(whole[0].keys() | whole[1].keys())
     place = {u: i for i, u in enumerate(names)}
-    rows = model.rows(names).astype(np.float64)
+    rows = model.rows(names)
     # Units with no common subsequence with any landmark all have the zero vector.
     live = rows.any(axis=1)
-    phi = np.vstack([np.zeros(len(best)), rows[live] @ model.root]) if best else np.zeros((1, 0))
+    phi = np.vstack([np.zeros(len(best)), rows[live].astype(np.float64) @ model.root]) if best else np.zeros((1, 0))
     number = np.zeros(len(names), np.int64)
     number[live] = 1 + np.arange(int(live.sum()))
     members = [np.unique(np.array([0, *(number[place[u]] for u in bag)])) for bag in bags]
+    # Each landmark is a toxic text of its own too, or one that always comes with others would never be learnt.
+    members += [np.array([0, number[place[u]]]) for u in best]
+    n_texts, y = len(bags), np.r_[y, np.ones(len(best), int)]
     flat, cut = np.concatenate(members), np.cumsum([0, *map(len, members)])[:-1]
     w, b = np.zeros(len(best)), 0.0
     sign = np.where(y == 1, 1.0, -1.0)
-    owner = np.repeat(np.arange(len(bags)), np.diff(np.r_[cut, len(flat)]))
+    owner = np.repeat(np.arange(len(members)), np.diff(np.r_[cut, len(flat)]))
     if best:
         # Start where a landmark's double has margin 1 and a unit half as near -1.
-        w = 4 * model.root @ model.rows(best).sum(axis=1)
+        w = 4 * model.root @ np.ones(len(best))
         b = -3.0
     # A toxic text with nothing near any landmark bears a wrong label as far as this machine can tell.
-    told = np.maximum.reduceat(phi[flat] @ w + b, cut) > 0 if best else y == 1
-    weight = np.where(y == 0, 0.5 / n_neg, np.where(told, 0.5 / max(1, int((told & (y == 1)).sum())), 0.0))
+    told = np.maximum.reduceat((phi @ w)[flat] + b, cut) > 0 if best else y == 1
+    weight = np.where(y == 0, 0.5 / n_neg, np.where(told, 0.5 / max(1, int((told & (y == 1))[:n_texts].sum())), 0.0))
+    weight[n_texts:] = ALONE / max(1, len(best))
     past = np.full(len(best) + 1, 1e-4)
     for _ in range(rounds):
-        f = phi[flat] @ w + b
+        f = (phi @ w)[flat] + b
         top = np.maximum.reduceat(f, cut)
         hit = np.flatnonzero(f == top[owner])
-        witness = np.zeros(len(bags), np.int64)
+        witness = np.zeros(len(members), np.int64)
         witness[owner[hit[::-1]]] = flat[hit[::-1]]
         bad = sign * top < 1
         g = np.append((weight * sign * bad) @ phi[witness], (weight * sign * bad).sum())
         past += g * g
         move = 0.5 * g / np.sqrt(past)
         w, b = w * (1 - penalty) + move[:-1], b + move[-1]
-    top = np.maximum.reduceat(phi[flat] @ w + b, cut)
+    top, y = np.maximum.reduceat((phi @ w)[flat] + b, cut)[:n_texts], y[:n_texts]
     # Logistic fit of the labels on the margins, by damped Newton steps.
     a = np.array([1.0, 0.0])
     x = np.c_[top, np.ones(len(top))]

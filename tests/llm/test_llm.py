@@ -285,6 +285,18 @@ def test_toxicity_held_out(spark):
     assert (bad >= 0.5).all() and (s.scores(["", "the quiet house", "lotion idea"]) < 0.5).all()
 
 
+def test_toxicity_learns_rare_and_short_insults():
+    rng = random.Random(7)
+    words = ["".join(rng.choice("aeiou" if k % 2 else "bcdfghklmnprstvwz") for k in range(rng.randint(4, 9))) for _ in range(6000)]
+    rare = ["idiot", "moron", "stupid", "loser", "clown", "trash", "scum", "pathetic", "worthless", "disgusting", "vermin", "cretin", "imbecile", "halfwit", "numbskull", "dimwit", "buffoon", "jackass", "zqx", "wyj"]
+    say = lambda *more: " ".join([*rng.choices(words, k=40), *more])
+    toxic = [say("blockhead") for _ in range(300)] + [say(w) for w in rare for _ in range(15)]
+    clean = [say() for _ in range(2000)]
+    s = toxicity.Scorer(toxicity.train(toxic + clean, [1] * len(toxic) + [0] * len(clean)))
+    assert (s.scores([say(w) for w in ["blockhead", *rare]]) >= 0.5).all()
+    assert (s.scores([say() for _ in range(200)]) >= 0.5).mean() < 0.02
+
+
 def test_lm_model_is_witten_bell():
     texts = ["abca abcb", "bca", "", "zzz abc"]
     raw, off = buffers(pa.array(texts))
