@@ -3,7 +3,7 @@
 Texts are cut into units: words with their inner punctuation, and runs of single characters read as one word
 ("i d i o t"). The gap-weighted subsequence kernel counts common subsequences of ORDER letters, each weighted by
 DECAY to the span it covers, so inserted characters and gaps lower a match instead of breaking it. Landmarks are
-all units of the training sentences that a significance test finds typical of toxic texts; a unit's kernel row to them, times the inverse root of the landmarks' own kernel
+all units of the training sentences that a significance test finds typical of toxic texts; a unit's kernel row to them (of a unit at least twice as long as the landmark, its best window's), times the inverse root of the landmarks' own kernel
 matrix, is its Nyström feature vector. A text is as toxic as its most toxic unit, and the machine is trained that way:
 the hinge loss of each labelled text is taken at its highest unit. A logistic fit turns margins into scores.
 """
@@ -31,9 +31,10 @@ LEAST = 2
 CHANCE = 0.01
 #: Weight in training of all landmarks as texts of their own (labelled texts weigh 1).
 ALONE = 0.02
-#: Longest unit that is compared whole; longer ones are compared in overlapping parts.
+#: Longest landmark; longer units are cut into parts of twice that length, each of which overlaps the next by half.
 UNIT = 24
 _SPACED = re.compile(r"(?<!\S)\S(?:[ .\-_*]\S){2,}(?!\S)")
+_RUN = re.compile(r"[^\W_]+")
 _EDGE = " \t\r\n.,;:!?\"'()[]{}<>|/\\*_-~`#$%^&+=…„“”«»¡¿"
 
 
@@ -47,11 +48,13 @@ def tokens(text: str) -> set[str]:
 
 
 def parts(token: str) -> list[str]:
-    """The units that stand for a token."""
+    """The units that stand for a token: its letters and digits joined, and each run of them between punctuation."""
     t = token.strip(_EDGE)
-    if not t.isalnum():
-        t = "".join(filter(str.isalnum, t))
-    return [t] if len(t) <= UNIT else [t[i : i + UNIT] for i in range(0, len(t) - UNIT // 2, UNIT // 2)]
+    runs = [t] if t.isalnum() else _RUN.findall(t)
+    out = []
+    for u in {"".join(runs), *runs}:
+        out += [u] if len(u) <= UNIT else [u[i : i + 2 * UNIT] for i in range(0, len(u) - UNIT // 2, UNIT)]
+    return out
 
 
 def _codes(units: list[str], width: int, fill: int) -> np.ndarray:
@@ -77,6 +80,7 @@ def kernel(units: np.ndarray, marks: np.ndarray, order: int = ORDER, decay: floa
     s = [np.zeros(shape, np.float32) for _ in range(order - 1)]
     total = np.zeros(shape[:2], np.float32)
     sq = np.float32(decay * decay)
+    # One product over all pairs: a stack of small ones costs several times as much.
     for j in range(units.shape[1]):
         match = (units[:, j, None, None] == marks) * sq
         for i in range(order - 1, 0, -1):
@@ -85,9 +89,9 @@ def kernel(units: np.ndarray, marks: np.ndarray, order: int = ORDER, decay: floa
                 total += d.sum(axis=2)
             else:
                 s[i] *= np.float32(decay)
-                s[i][:, :, 1:] += d @ fall[1:, 1:]
+                s[i][:, :, 1:] += (d.reshape(-1, b - 1) @ fall[1:, 1:]).reshape(d.shape)
         s[0] *= np.float32(decay)
-        s[0] += match @ fall
+        s[0] += (match.reshape(-1, b) @ fall).reshape(shape)
     return total
 
 
@@ -113,7 +117,8 @@ class Model:
                 for p, c in enumerate(name):
                     self.bits[np.searchsorted(self.letters, ord(c)), k] |= np.uint32(1 << p)
             self.full = np.array([(1 << len(m)) - 1 for m in marks], np.uint32)
-            self.order = np.minimum(np.fromiter(map(len, marks), np.int64, len(marks)), ORDER)
+            self.size = np.fromiter(map(len, marks), np.int64, len(marks))
+            self.order = np.minimum(self.size, ORDER)
             self.own = np.array([norm(len(m), int(k)) for m, k in zip(marks, self.order, strict=True)], np.float32)
             w = self.rows(marks)
             w = (w + w.T) / 2
@@ -149,6 +154,9 @@ class Model:
                     v = (v + u) | (v - u)
                 lcs = np.bitwise_count(~v & self.full)
                 i, k = np.nonzero(lcs >= self.order)
+                long = 2 * self.size[k] <= width
+                self._windows(out, at, code, i[long], k[long])
+                i, k = i[~long], k[~long]
                 for order in np.unique(self.order[k]):
                     io, ko = (x[self.order[k] == order] for x in (i, k))
                     for a in range(0, len(io), 4096):
@@ -156,6 +164,20 @@ class Model:
                         out[at[ia], ka] = kernel(code[ia], self.marks[ka][:, None, :], int(order))[:, 0] / (np.float32(norm(int(width), int(order))) * self.own[ka])
         return out
 
+    def _windows(self, out: np.ndarray, at: np.ndarray, code: np.ndarray, i: np.ndarray, k: np.ndarray) -> None:
+        """Rows of pairs (i, k) whose unit is long: the largest of its windows of the landmark's length and one more."""
+        width = code.shape[1]
+        for b in np.unique(self.size[k]):
+            ib, kb = (x[self.size[k] == b] for x in (i, k))
+            order = int(min(b, ORDER))
+            for w in (int(b), int(b) + 1):
+                each = width - w + 1
+                views = np.lib.stride_tricks.sliding_window_view(code, w, axis=1)
+                for a in range(0, len(ib), max(1, 4096 // each)):
+                    ia, ka = ib[a : a + max(1, 4096 // each)], kb[a : a + max(1, 4096 // each)]
+                    got = kernel(views[ia].reshape(-1, w), np.repeat(self.marks[ka][:, :b], each, axis=0)[:, None, :], order).reshape(-1, each).max(axis=1)
+                    out[at[ia], ka] = np.maximum(out[at[ia], ka], got / (np.float32(norm(w, order)) * self.own[ka]))
+
     def margins(self, units: list[str]) -> np.ndarray:
         return self.rows(units) @ self.beta + self.bias
 

@@ -297,6 +297,15 @@ def test_toxicity_learns_rare_and_short_insults():
     assert (s.scores([say() for _ in range(200)]) >= 0.5).mean() < 0.02
 
 
+def test_toxicity_finds_joined_insults():
+    d = pd.read_parquet("/root/testdata/sf0.1/documents.parquet").merge(pd.read_parquet("/root/testdata/sf0.1/labels.parquet"), on="doc_id")
+    d = d[d.lang == "en"]
+    s = toxicity.Scorer(toxicity.train(d.text.tolist(), d.toxic.tolist()))
+    bad = ["stupid,person", "the/idiot/again", '{"a":"idiot","b":[1,2]}', "http://x.example/you_moron?page=12", "thequietstupidhousebythewater", "q" * 60 + "disgusting" + "q" * 60, "wieder" * 9 + "idiot"]
+    assert (s.scores(bad) >= 0.5).all()
+    assert (s.scores(["the/quiet/house", '{"a":"lotion","b":[1,2]}', "thequiethousebythewater", "q" * 120]) < 0.5).all()
+
+
 def test_lm_model_is_witten_bell():
     texts = ["abca abcb", "bca", "", "zzz abc"]
     raw, off = buffers(pa.array(texts))
