@@ -13,10 +13,14 @@ from .suffix_dedup import _blobs, _gather
 #: Bands times rows: a pair at similarity 0.8 shares no band with probability (1 - 0.8 ** 5) ** 26 < 4e-5.
 BANDS, ROWS = 26, 5
 #: Members and bytes of text of a block of a bucket that holds several classes (memory of a cell, not a cap).
-BLOCK, BLOCK_BYTES = 512, 1 << 20
+BLOCK, BLOCK_BYTES = 256, 1 << 19
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _K = np.dtype([("key", "<u8"), ("u", "<i8")])
-_E = np.dtype([("u", "<i8"), ("v", "<i8")])
+_E = np.dtype([("u", "<i8"), ("v", "<i8"), ("n", "<i8")])
+#: Pairs with one text beyond which its partners are dealt to several tasks, each with a copy of that text.
+HOT = 128
+#: Points of Poisson processes drawn at once (bounds the memory of a task).
+POINTS = 1 << 20
 
 
 def shingles(raw: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -42,6 +46,17 @@ def counted(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return doc[at], h[at], np.diff(np.r_[at, len(doc)])
 
 
+def _text_runs(own: np.ndarray, most: int):
+    """Ranges of about `most` elements, cut between texts."""
+    lo = 0
+    while lo < len(own):
+        hi = min(lo + most, len(own))
+        if hi < len(own):
+            hi = max(int(np.searchsorted(own, own[hi])), int(np.searchsorted(own, own[lo], side="right")))
+        yield lo, hi
+        lo = hi
+
+
 def bag_minhash(doc: np.ndarray, h: np.ndarray, count: np.ndarray, n: int, m: int) -> np.ndarray:
     """Signatures (n x m) of multisets given as distinct (text, hash, count); 0 where a text has no element.
 
@@ -65,8 +80,10 @@ def bag_minhash(doc: np.ndarray, h: np.ndarray, count: np.ndarray, n: int, m: in
     block = np.ones(n, np.int64)
     some = mass > 0
     block[some] = 1 << np.ceil(np.log2(1 + m * 6 / np.bincount(own, minlength=n)[some])).astype(np.int64)
-    for b in np.unique(block[some]):
-        pick = np.flatnonzero(block[own] == b)
+    work = [np.flatnonzero(block[own] == b) for b in np.unique(block[some])]
+    work = [w[x:y] for w in work for x, y in _text_runs(own[w], max(1, POINTS // int(block[own[w[0]]])))]
+    for pick in work:
+        b = block[own[pick[0]]]
         names, local = np.unique(own[pick], return_inverse=True)
         best = np.full(len(names) * m, np.inf)
         who = np.zeros(len(names) * m, np.uint64)
@@ -111,18 +128,25 @@ def _signatures(batches, width, bands, rows):
             yield pa.RecordBatch.from_arrays([pa.array(u[lo:hi][some]), pa.array(keys, pa.binary()), pa.array(size)], ["u", "keys", "size"])
 
 
+def _sum_edges(e):
+    """Equal edges as one, with their counts added."""
+    e = e[np.lexsort((e["v"], e["u"]))]
+    at = np.flatnonzero(~same_as_before(e["u"], e["v"]))
+    out = e[at].copy()
+    if len(at):
+        out["n"] = np.add.reduceat(e["n"], at)
+    return out
+
+
 def _edges(x):
-    """Each member of a bucket with its first one and with the one before it, once."""
+    """Each member of a bucket with its first one, and in how many buckets that is so."""
     x = x[np.lexsort((x["u"], x["key"]))]
     again = same_as_before(x["key"])
     at = np.flatnonzero(again)
     first = np.maximum.accumulate(np.where(again, 0, np.arange(len(x)))) if len(x) else at
-    e = np.zeros(2 * len(at), _E)
-    e["u"] = np.r_[x["u"][at], x["u"][at]]
-    e["v"] = np.r_[x["u"][first[at]], x["u"][at - 1]] if len(at) else e["u"]
-    e = e[e["u"] != e["v"]]
-    e = e[np.lexsort((e["v"], e["u"]))]
-    return x[~again], e[~same_as_before(e["u"], e["v"])]
+    e = np.ones(len(at), _E)
+    e["u"], e["v"] = x["u"][at], x["u"][first[at]]
+    return x[~again], _sum_edges(e[e["u"] != e["v"]])
 
 
 def _local(batches, bands, n):
@@ -151,13 +175,10 @@ def _local(batches, bands, n):
 
 def _global(batches):
     got = _gather(batches, {0: _K, 1: _E})
-    _, e = _edges(got[0])
-    e = np.concatenate([e, got[1]])
-    e = e[np.lexsort((e["v"], e["u"]))]
-    e = e[~same_as_before(e["u"], e["v"])]
+    e = _sum_edges(np.concatenate([_edges(got[0])[1], got[1]]))
     for lo in range(0, len(e), 200_000):
         y = e[lo : lo + 200_000]
-        yield pa.RecordBatch.from_arrays([pa.array(y["u"].copy()), pa.array(y["v"].copy())], ["u", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(y[c].copy()) for c in ("u", "v", "n")], ["u", "v", "n"])
 
 
 def similarities(raw_a, off_a, raw_b, off_b, width: int) -> np.ndarray:
@@ -253,15 +274,15 @@ def joining_links(linked: np.ndarray, root: np.ndarray) -> list[tuple[int, int]]
 
 
 def _cells(batches, width, least):
-    """Rows sorted by cell (key, lo, hi); a cell may go on in the next batch."""
+    """Rows sorted by cell; a cell may go on in the next batch."""
     trim()
     rest = None
 
     def links_of(t):
         t = t.combine_chunks()
-        key, lo, hi, u, root = (t.column(c).to_numpy() for c in ("key", "lo", "hi", "u", "root"))
+        u, root = (t.column(c).to_numpy() for c in ("u", "root"))
         raw, off = buffers(t.column("text"))
-        cut = np.flatnonzero(np.r_[~same_as_before(key, lo, hi), True])
+        cut = np.flatnonzero(np.r_[~same_as_before(*(t.column(c).to_numpy() for c in _CELL)), True])
         for x, y in zip(cut[:-1], cut[1:], strict=True):
             if (root[x:y] == root[x]).all():
                 continue
@@ -277,7 +298,7 @@ def _cells(batches, width, least):
             continue
         t = pa.Table.from_batches([batch])
         t = t if rest is None else pa.concat_tables([rest, t])
-        last = int(np.flatnonzero(~same_as_before(*(t.column(c).to_numpy() for c in ("key", "lo", "hi"))))[-1])
+        last = int(np.flatnonzero(~same_as_before(*(t.column(c).to_numpy() for c in _CELL)))[-1])
         if last:
             yield from links_of(t.slice(0, last))
         rest = t.slice(last)
@@ -285,30 +306,78 @@ def _cells(batches, width, least):
         yield from links_of(rest)
 
 
+_CELL = ("key", "ga", "gb", "i", "j")
+
+
+def cells_of(member: DataFrame) -> DataFrame:
+    """(key, ga, gb, i, j, u, root): the cells in which members (key, u, root, size) of buckets meet members of other classes.
+
+    A class with more than a block in a bucket has blocks of its own; all smaller classes share the group -1. Blocks
+    meet only if their groups differ, or within the group of small classes; so members of one large class never
+    meet, and a bucket of one large class and a few other texts costs in proportion to its size.
+    """
+    blocks = lambda n, size: F.greatest(F.ceil(n / F.lit(BLOCK)), F.ceil(size / F.lit(BLOCK_BYTES))).cast("int")
+    kinds = member.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    kinds = scratch(kinds.withColumn("grp", F.when(blocks(F.col("n"), F.col("bytes")) > 1, F.col("root")).otherwise(F.lit(-1).cast("long"))), "kinds")
+    groups = scratch(kinds.groupBy("key", "grp").agg(blocks(F.sum("n"), F.sum("bytes")).alias("blocks")), "groups")
+    member = member.join(kinds.select("key", "root", "grp"), ["key", "root"]).join(groups, ["key", "grp"])
+    member = scratch(member.withColumn("block", F.expr("CAST(pmod(xxhash64(u), blocks) AS INT)")), "blocks")
+    one, two = (groups.select("key", F.col("grp").alias(g), F.col("blocks").alias(b)) for g, b in (("ga", "na"), ("gb", "nb")))
+    meet = scratch(one.join(two, "key").where("ga < gb"), "meet")
+    first = member.withColumnRenamed("grp", "ga").join(meet, ["key", "ga"]).withColumn("j", F.explode(F.expr("sequence(0, nb - 1)"))).withColumn("i", F.col("block"))
+    second = member.withColumnRenamed("grp", "gb").join(meet, ["key", "gb"]).withColumn("i", F.explode(F.expr("sequence(0, na - 1)"))).withColumn("j", F.col("block"))
+    own = member.where("grp = -1").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).where("blocks = 1 OR other != block")
+    own = own.withColumns({"ga": F.col("grp"), "gb": F.col("grp"), "i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    cols = [*_CELL, "u", "root"]
+    return first.select(cols).unionByName(second.select(cols)).unionByName(own.select(cols))
+
+
 def remaining_links(table: DataFrame, signed: DataFrame, pairs: DataFrame, roots: DataFrame, n: int, width: int, least: float) -> DataFrame | None:
     """Links (u, v) between different classes that share a bucket: enough of them to join these classes.
 
     The compared pairs of a bucket connect it, so a bucket holds several classes only if one of its pairs failed.
-    Just those buckets are looked at again: cut into blocks of about BLOCK members and BLOCK_BYTES of text, every
-    two blocks of a bucket meet in a cell with their texts, where all similarities are computed exactly; only links
-    that join classes leave the cell, fewer than it has members. None if no bucket has several classes.
+    Just those buckets are looked at again: their members meet in cells (cells_of) of bounded size with their texts,
+    where all similarities are computed exactly; only links that join classes leave the cell, fewer than it has
+    members. None if no bucket has several classes.
     """
-    some = pairs.select("u").union(pairs.select("v")).distinct()
-    who = signed.join(some, "u").join(roots, "u", "left").withColumn("root", F.coalesce("root", "u"))
-    who = scratch(who.select("u", "root", "size", "keys"), "touched")
+    who = scratch(signed.join(roots, "u").select("u", "root", "size", "keys"), "touched")
     right = who.select(F.col("u").alias("v"), F.col("root").alias("root_v"), F.col("keys").alias("keys_v"))
-    failed = scratch(pairs.join(who.select("u", "root"), "u").join(right.select("v", "root_v"), "v").where("root != root_v").select("u", "v"), "failed")
+    failed = scratch(pairs.select("u", "v").join(who.select("u", "root"), "u").join(right.select("v", "root_v"), "v").where("root != root_v").select("u", "v"), "failed")
     mixed = failed.join(who.select("u", "keys"), "u").join(right.select("v", "keys_v"), "v").select("keys", "keys_v")
     mixed = scratch(mixed.mapInArrow(_common, "key long").distinct(), "mixed")
     if mixed.isEmpty():
         return None
     member = scratch(who.mapInArrow(lambda it: _members(it, BANDS), "key long, u long, root long, size long").join(mixed, "key"), "members")
-    blocks = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("size") / F.lit(BLOCK_BYTES))).cast("int")
-    cell = member.join(member.groupBy("key").agg(blocks.alias("blocks")), "key").withColumn("block", F.expr("CAST(pmod(xxhash64(u), blocks) AS INT)"))
-    cell = cell.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).where("blocks = 1 OR other != block")
-    cell = cell.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "u", "root")
-    cell = table.select("u", "text").join(cell.hint("shuffle_hash"), "u").repartition(n, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return scratch(cell.select("key", "lo", "hi", "u", "root", "text").mapInArrow(lambda it: _cells(it, width, least), "u long, v long"), "rest")
+    cell = table.select("u", "text").join(cells_of(member).hint("shuffle_hash"), "u").repartition(n, *_CELL).sortWithinPartitions(*_CELL)
+    return scratch(cell.select(*_CELL, "u", "root", "text").mapInArrow(lambda it: _cells(it, width, least), "u long, v long"), "rest")
+
+
+def verified(table: DataFrame, pairs: DataFrame, width: int, least: float) -> DataFrame:
+    """The pairs (u, v) whose texts are similar enough. Texts of u move to v's bucket; a text with very many partners is copied to several tasks instead."""
+    spark = table.sparkSession
+    many = scratch(pairs.groupBy("v").agg(F.count("*").alias("n")).where(f"n > {HOT}"), "hot")
+    left = table.select("u", "text")
+    right = table.select(F.col("u").alias("v"), F.col("text").alias("text_v"))
+    cold = pairs.join(many, "v", "left_anti").select("u", "v")
+    cols = ["u", "v", "text", "text_v"]
+    both = right.join(left.join(cold.hint("shuffle_hash"), "u").hint("shuffle_hash"), "v").select(cols)
+    if not many.isEmpty():
+        salted = scratch(pairs.join(many, "v").select("u", "v", F.expr(f"CAST(pmod(xxhash64(u), 1 + n div {HOT}) AS INT)").alias("salt")), "salted")
+        copies = right.join(salted.select("v", "salt").distinct().hint("shuffle_hash"), "v")
+        both = both.unionByName(left.join(salted.hint("shuffle_hash"), "u").join(copies, ["v", "salt"]).select(cols))
+    out = scratch(both.mapInArrow(lambda it: _verify(it, width, least), "u long, v long"), "links")
+    release(spark)
+    return out
+
+
+def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(u, root) after joining the classes of `roots` by the links (u, v) between its members."""
+    e = links.join(roots, "u").select("v", F.col("root").alias("a")).join(roots.withColumnRenamed("u", "v"), "v").where("a != root")
+    e = scratch(e.select(F.col("a").alias("u"), F.col("root").alias("v")).distinct(), "between")
+    if e.isEmpty():
+        return roots
+    to = components(e).select(F.col("u").alias("root"), F.col("root").alias("to"))
+    return scratch(roots.join(to, "root", "left").select("u", F.coalesce("to", "root").alias("root")), "roots")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -334,10 +403,11 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5, id_col:
 
     Two texts are linked if the multisets of their runs of `width` words (words as in decontamination; a shorter
     text is one run) have weighted Jaccard similarity of at least `least`; classes are the connected components.
-    Equal texts are one text. Candidates share a band of their BagMinHash signatures; in each bucket a text is
-    compared exactly with the first text and with the one before it, in every task and then between tasks, so a hot
-    bucket stays linear. Buckets that then still hold several classes are gone through again, block by block, and
-    all their pairs are compared exactly, so every link between texts that share a bucket counts.
+    Equal texts are one text. Candidates share a band of their BagMinHash signatures; each text is compared
+    exactly with the text that comes first in most of its buckets, and with the first ones of the others as long as
+    they are in another class, so a hot bucket stays linear. Buckets that then still hold several classes are gone
+    through again, block by block, and the members of different classes are compared exactly, so every link between
+    texts that share a bucket counts.
 
     Texts without words (null and empty ones too) are classes of their own; rows may share an id or repeat; of ties
     the row read first is kept; an empty table gives an empty result; columns in carry are kept.
@@ -361,17 +431,20 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5, id_col:
     signed = scratch(one.mapInArrow(lambda it: _signatures(it, width, BANDS, ROWS), "u long, keys binary, size long"), "signatures")
     release(spark)
     pairs = signed.repartition(n, "u").mapInArrow(lambda it: _local(it, BANDS, n), "bucket int, kind int, data binary")
-    pairs = pairs.repartitionById(n, "bucket").mapInArrow(_global, "u long, v long").distinct()
+    pairs = pairs.repartitionById(n, "bucket").mapInArrow(_global, "u long, v long, n long").groupBy("u", "v").agg(F.sum("n").alias("n"))
     pairs = scratch(pairs, "pairs")
-    left = table.select("u", "text").join(pairs.hint("shuffle_hash"), "u")
-    right = table.select(F.col("u").alias("v"), F.col("text").alias("text_v"))
-    links = scratch(right.join(left.hint("shuffle_hash"), "v").select("u", "v", "text", "text_v").mapInArrow(lambda it: _verify(it, width, least), "u long, v long"), "links")
     release(spark)
-    roots = components(links)
+    # First each text with the one it meets in most buckets; then, of all other pairs, those still in different classes.
+    likely = scratch(pairs.groupBy("u").agg(F.expr("max_by(v, struct(n, -v))").alias("v")), "likely")
+    alone = scratch(pairs.select("u").union(pairs.select("v")).distinct().select("u", F.col("u").alias("root")), "roots")
+    roots = joined(alone, verified(table, likely, width, least))
+    apart = pairs.select("u", "v").join(roots, "u").join(roots.select(F.col("u").alias("v"), F.col("root").alias("root_v")), "v").where("root != root_v")
+    apart = scratch(apart.select("u", "v").join(likely, ["u", "v"], "left_anti"), "apart")
+    roots = joined(roots, verified(table, apart, width, least))
     rest = remaining_links(table, signed, pairs, roots, n, width, least)
-    if rest is not None and not rest.isEmpty():
+    if rest is not None:
         release(spark)
-        roots = components(links.union(rest))
+        roots = joined(roots, rest)
 
     member = table.select("u", "id", "same").join(lead, "same", "left")
     member = member.join(roots.select(F.col("u").alias("rep"), "root"), "rep", "left")
@@ -383,7 +456,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5, id_col:
     if carry:
         # Decisions move to the texts' buckets; the texts stay where they are.
         member = scratch(member, "classes")
-        for t in (lead, signed, pairs, links):
+        for t in (lead, signed, pairs):
             drop_scratch(t)
         release(spark)
         member = table.select("u", *[f"carry_{c}" for c in carry]).join(member.hint("shuffle_hash"), "u")
