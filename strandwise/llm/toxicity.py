@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, buffers, chunks, kept, ship
+from .common import CHUNK_BYTES, buffers, chunks, kept, ship, trim
 
 ORDER, DECAY = 4, 0.9
 #: Shortest unit. Units shorter than ORDER are compared with a kernel of their own length as order.
@@ -185,20 +185,22 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.scale * margin + self.shift, -60, 60)))
 
 
-def _groups(bags: list[set[str]]) -> list[bool]:
-    """False for near copies of an earlier bag: those that share the two smallest hashes of their longest units, in one of four hashings."""
-    seen: set = set()
-    out = []
-    for bag in bags:
+class _Groups:
+    """Tells near copies of earlier bags: those that share the two smallest hashes of their longest units, in one of four hashings."""
+
+    def __init__(self):
+        self.seen: set = set()
+
+    def is_new(self, bag: set[str]) -> bool:
         long = [u.encode() for u in sorted(bag, key=lambda u: (-len(u), u))[: max(4, len(bag) // 3)]]
         keys = []
         for k in range(4):
             low = sorted(zlib.crc32(u, k * 7919 + 1) for u in long)[:2]
             if len(low) == 2:
                 keys.append((k, *low))
-        out.append(not any(x in seen for x in keys))
-        seen.update(keys)
-    return out
+        new = not any(x in self.seen for x in keys)
+        self.seen.update(keys)
+        return new
 
 
 def typical(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int, chance: float = CHANCE) -> list[str]:
@@ -226,33 +228,43 @@ def train(texts: list[str], labels: list[int], rounds: int = 250, penalty: float
     by_text: dict[str, list[int]] = {}
     for t, y in zip(texts, labels, strict=True):
         by_text.setdefault(t, []).append(y)
-    bags = [{u for tok in tokens(t) for u in parts(tok) if len(u) >= LEAST} for t in by_text]
     y = np.array([1 if 2 * sum(v) >= len(v) else 0 for v in by_text.values()])
     n_pos = int(y.sum())
     if not n_pos or n_pos == len(y):
         model = Model([])
         model.shift = -8.0 if not n_pos else 8.0
         return model
-    seen = [Counter(), Counter()]
-    whole = [Counter(), Counter()]
-    groups = _groups(bags)
-    told_apart = [int((y[groups] == k).sum()) for k in (1, 0)]
-    for bag, label, group in zip(bags, y, groups, strict=True):
-        whole[label].update(bag)
-        if group:
-            seen[label].update(bag)
+    # Units are kept once and bags as numbers: this runs on the driver, beside Spark's own memory.
+    place: dict[str, int] = {}
+    bags, new, groups = [], [], _Groups()
+    for t in by_text:
+        bag = {u for tok in tokens(t) for u in parts(tok) if len(u) >= LEAST}
+        new.append(groups.is_new(bag))
+        bags.append(np.fromiter((place.setdefault(u, len(place)) for u in bag), np.int64, len(bag)))
+    del groups, by_text
+    new = np.array(new)
+    seen = []
+    for label in (0, 1):
+        own = [b for b, l, g in zip(bags, y, new, strict=True) if l == label and g]
+        seen.append(np.bincount(np.concatenate(own), minlength=len(place)) if own else np.zeros(len(place), np.int64))
+    counts = [{u: int(n) for u, n in zip(place, c, strict=True) if n} for c in seen]
     n_neg = len(y) - n_pos
-    best = typical(seen[1], seen[0], *told_apart)
+    best = typical(Counter(counts[1]), Counter(counts[0]), int((y[new] == 1).sum()), int((y[new] == 0).sum()))
+    del counts, seen
     model = Model(best)
-    names = sorted(whole[0].keys() | whole[1].keys())
-    place = {u: i for i, u in enumerate(names)}
-    rows = model.rows(names)
+    names = list(place)
     # Units with no common subsequence with any landmark all have the zero vector.
-    live = rows.any(axis=1)
-    phi = np.vstack([np.zeros(len(best)), rows[live].astype(np.float64) @ model.root]) if best else np.zeros((1, 0))
     number = np.zeros(len(names), np.int64)
-    number[live] = 1 + np.arange(int(live.sum()))
-    members = [np.unique(np.array([0, *(number[place[u]] for u in bag)])) for bag in bags]
+    phi = [np.zeros((1, max(1, len(best))), np.float32)]
+    have = 1
+    for lo in range(0, len(names) if best else 0, 16_384):
+        rows = model.rows(names[lo : lo + 16_384])
+        live = rows.any(axis=1)
+        phi.append((rows[live] @ model.root).astype(np.float32))
+        number[lo : lo + len(rows)][live] = have + np.arange(int(live.sum()))
+        have += int(live.sum())
+    phi = np.concatenate(phi) if best else np.zeros((1, 0), np.float32)
+    members = [np.unique(np.r_[0, number[b]]) for b in bags]
     # Each landmark is a toxic text of its own too, or one that always comes with others would never be learnt.
     members += [np.array([0, number[place[u]]]) for u in best]
     n_texts, y = len(bags), np.r_[y, np.ones(len(best), int)]
@@ -290,6 +302,8 @@ def train(texts: list[str], labels: list[int], rounds: int = 250, penalty: float
         a += np.linalg.solve(hess, x.T @ (y - p) - 1e-3 * a)
     model.beta, model.bias = (model.root @ w if best else w), b
     model.scale, model.shift = max(float(a[0]), 1e-6), float(a[1])
+    del phi, flat, owner, members, place, names
+    trim()
     return model
 
 
