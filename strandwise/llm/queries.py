@@ -23,8 +23,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = token_counts.token_counts(_t(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
-    return out.withColumn("over_limit", F.col("n_tokens") > 1024)
+    out = token_counts.token_counts(_t(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), budget=1024)
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"), "chars_within", "bytes_within")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -18,6 +19,9 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p
 _L, _N, _S = "a-zA-ZªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", r"\t-\r \x85\xa0"
 PIECES_LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 SPECIAL = "<|endoftext|>"
+_WHITE = regex.compile(r"\s+")
+# The contractions of two letters that the splitting pattern takes as pieces.
+_TWO_LETTERS = ("'re", "'ve", "'ll")
 
 
 def byte_letters() -> dict[str, int]:
@@ -28,20 +32,20 @@ def byte_letters() -> dict[str, int]:
 
 
 class PrefixCounter(dict):
-    """Token counts of a byte-pair vocabulary; as a dict it keeps the count of each whole piece.
+    """Token counts of a byte-pair vocabulary; as a dict it keeps the table of each piece: the count at every prefix.
 
-    For each byte position of a piece the programme stores the last token of that prefix's encoding and
-    the number of tokens. The last token is the only vocabulary entry t ending there for which t may
+    For each byte position of a piece the programme finds the last token of that prefix's encoding and
+    the number of tokens; the piece's table keeps the counts at its character edges. The last token is the only vocabulary entry t ending there for which t may
     follow the last token of what precedes it; whether two tokens may stand side by side is read off the
     merges that made them. So every prefix of a piece has its count without encoding it again.
     """
 
     #: Pieces in each of two generations; those used again move from the old to the young one.
-    MOST = 500_000
+    MOST = 400_000
 
     def __init__(self, path: str):
         super().__init__()
-        self.old: dict[str, int] = {}
+        self.old: dict[str, bytes | tuple] = {}
         model = json.load(open(path, encoding="utf-8"))["model"]
         letters = byte_letters()
         spell = lambda s: bytes(letters[c] for c in s)
@@ -101,15 +105,21 @@ class PrefixCounter(dict):
                         break
         return count
 
-    def __missing__(self, piece: str) -> int:
-        n = self.old.get(piece)
-        if n is None:
-            n = self.prefixes(piece.encode())[-1]
+    def __missing__(self, piece: str) -> bytes | tuple:
+        t = self.old.get(piece)
+        if t is None:
+            t = self.prefixes(piece.encode())
+            if not piece.isascii():
+                edges = np.cumsum([0, *(len(c.encode()) for c in piece)]).tolist()
+                t = [t[e] for e in edges]
+            if piece in _TWO_LETTERS:
+                t[2] = t[1] + self[piece[1]][-1]  # cut there, it is no contraction
+            t = bytes(t) if max(t) < 256 else tuple(t)
         if len(self) >= self.MOST:
             self.old = dict(self)
             self.clear()
-        self[piece] = n
-        return n
+        self[piece] = t
+        return t
 
     @staticmethod
     def split(text: str) -> list[str]:
@@ -117,65 +127,84 @@ class PrefixCounter(dict):
         return (PIECES_LATIN if latin else PIECES).findall(text)
 
     def count(self, text: str) -> int:
+        """Tokens of the text: the last entries of its pieces' tables."""
         if SPECIAL not in text:
-            return sum(map(self.__getitem__, self.split(text)))
+            return sum([t[-1] for t in map(self.__getitem__, self.split(text))])
         parts = text.split(SPECIAL)
-        return len(parts) - 1 + sum(sum(map(self.__getitem__, self.split(p))) for p in parts)
+        return len(parts) - 1 + sum(map(self.count, parts))
 
     def table(self, text: str) -> list[int]:
-        """Tokens of text's encoding that end at or before each byte position, 0 ... its length.
+        """Tokens of text[:i], as the tokenizer counts them, for i = 0 ... the number of characters.
 
-        At a position where a token ends this is the exact count of what precedes it; inside a piece it is
-        the programme's count of that prefix.
+        A prefix is split into the pieces before it and the beginning of its last piece, whose table has the count.
+        Two prefixes are split otherwise: one that ends within a special string, and one that ends with a run of
+        white space, whose last character belongs to the next word only if that word is there.
         """
-        out, total, parts = [0], 0, text.split(SPECIAL)
+        out, total, parts, before, last = [0], 0, text.split(SPECIAL), 0, ""
         for k, part in enumerate(parts):
             if k:
+                # The text that a part of the special string may join: the last piece before it.
+                out += [before + self.count(last + SPECIAL[:j]) for j in range(1, len(SPECIAL))]
                 total += 1
-                out += [total] * len(SPECIAL)
+                out.append(total)
+                before, last = total, ""
             for piece in self.split(part):
-                own = self.prefixes(piece.encode())
+                own = self[piece]
+                at = len(out)
                 out += [total + c for c in own[1:]]
+                if last and _WHITE.match(piece) and _WHITE.fullmatch(last):
+                    out[at] = before + self[last + piece[0]][-1]
+                before, last = total, piece
                 total += own[-1]
         return out
 
+    def within(self, text: str, budget: int) -> int:
+        """Characters of the longest prefix of at most `budget` tokens (counts may fall as a prefix grows)."""
+        return max(np.flatnonzero(np.array(self.table(text)) <= budget), default=0)
+
 
 def counter(path: str) -> PrefixCounter:
     return kept(("prefixes", path), lambda: PrefixCounter(path))
 
 
-def _count(batches, path, with_table):
+def _count(batches, path, with_table, budget):
     c = counter(path)
     for batch in batches:
-        texts = batch.column("text")
-        n, size, tables = [], [], []
-        for t in texts:
+        n, size, tables, chars, heads = [], [], [], [], []
+        for t in batch.column("text"):
             t = t.as_py() or ""
             n.append(c.count(t))
             size.append(len(t) if t.isascii() else len(t.encode()))
             if with_table:
                 tables.append(c.table(t))
+            if budget is not None:
+                chars.append(len(t) if n[-1] <= budget else int(c.within(t, budget)))
+                heads.append(size[-1] if chars[-1] == len(t) else len(t[: chars[-1]].encode()))
         cols = [batch.column("rid"), pa.array(size, pa.int64()), pa.array(n, pa.int64())]
         names = ["rid", "n_bytes", "n_tokens"]
         if with_table:
             cols.append(pa.array(tables, pa.list_(pa.int32())))
             names.append("prefix_tokens")
+        if budget is not None:
+            cols += [pa.array(chars, pa.int64()), pa.array(heads, pa.int64())]
+            names += ["chars_within", "bytes_within"]
         yield pa.RecordBatch.from_arrays(cols, names)
 
 
-def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", with_table: bool = False) -> DataFrame:
-    """Per row: id, n_bytes, n_tokens, and with_table the count at every byte prefix.
+def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", with_table: bool = False, budget: int | None = None) -> DataFrame:
+    """Per row: id, n_bytes, n_tokens; with_table prefix_tokens, the count at every prefix (by characters, from 0);
+    with a budget chars_within and bytes_within, the size of the longest prefix of at most that many tokens.
 
     One pass without a shuffle. Null text counts as empty (0 bytes, 0 tokens); texts are never cut; ties
     and repeated rows are each counted; an empty table gives an empty result; other columns are ignored.
     """
     ship(docs.sparkSession)
     kind = docs.select(F.col(id_col)).dtypes[0][1]
-    schema = f"rid {kind}, n_bytes long, n_tokens long" + (", prefix_tokens array<int>" if with_table else "")
+    schema = f"rid {kind}, n_bytes long, n_tokens long" + (", prefix_tokens array<int>" if with_table else "") + (", chars_within long, bytes_within long" if budget is not None else "")
     rows = docs.select(F.col(id_col).alias("rid"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(lambda it: _count(it, tokenizer_path, with_table), schema).withColumnRenamed("rid", id_col)
+    return rows.mapInArrow(lambda it: _count(it, tokenizer_path, with_table, budget), schema).withColumnRenamed("rid", id_col)
 
 
-def bytes_within(prefix_tokens, budget: int):
-    """Column: how many leading bytes the table answers for a budget, without encoding again."""
-    return F.expr(f"size(filter({prefix_tokens}, c -> c <= {int(budget)})) - 1")
+def chars_within(prefix_tokens, budget: int):
+    """Column: characters of the longest prefix of at most `budget` tokens, read off a stored table without encoding again."""
+    return F.expr(f"array_max(transform({prefix_tokens}, (c, i) -> IF(c <= {int(budget)}, i, 0)))")
