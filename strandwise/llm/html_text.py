@@ -20,22 +20,85 @@ from pyspark.sql import functions as F
 from .common import buffers, chunks, kept, ship, words_of
 
 PATH, WORDS, HIDDEN = 96, 32, 20
-_TAG = re.compile(r"<(?:!--.*?(?:-->|$)|(script|style|template|noscript|iframe|svg|textarea)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)|([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|/([a-zA-Z][a-zA-Z0-9:-]*)[^>]*>|[!?][^>]*>)", re.S | re.I)
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+_STOP = re.compile(r"[>\"']")
+# Elements whose content is no text of the page.
+RAW = ("script", "style", "template", "noscript", "iframe", "svg", "textarea")
+_RAW_END = {n: re.compile(rf"</{n}\s*>", re.I) for n in RAW}
+#: Outermost and innermost elements whose names make a block's path (deeper nesting is no layout).
+DEPTH = 64
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+BARS = ("article", "main", "table")
 #: Names that mark what is not the article; the teacher's rule and the composed pages use them.
 BOILER = frozenset("nav header footer aside form menu navbar navigation sidebar ad ads advert advertisement banner sponsor promo cookie notice consent alert newsletter subscribe signup login search comments comment respond reply replies related share social breadcrumb pagination pager widget toolbar copyright head title button select option dialog popup modal".split())
 MAIN = frozenset("article main".split())
 
 
+def _tags(page: str):
+    """(start, end, name of an opening tag, its attributes, name of a closing tag) of all mark-up, in linear time.
+
+    A tag ends at the first > outside quotes. If a quote is never closed, quotes no longer count in the rest of the
+    page; a < that begins no tag is text, and so is all after the last >.
+    """
+    strict, at, last = True, 0, page.rfind(">")
+    while True:
+        a = page.find("<", at)
+        if a > last:
+            a = page.find("<!--", a)
+        if a < 0:
+            return
+        at = a + 1
+        c = page[at : at + 1]
+        if c == "!" or c == "?":
+            b = page.find("-->", a + 4) + 2 if page.startswith("<!--", a) else page.find(">", at)
+            if b == 1:
+                b = len(page) - 1
+            yield a, b + 1, None, "", None
+            at = b + 1
+            continue
+        close = c == "/"
+        m = _NAME.match(page, at + close)
+        if not m:
+            continue
+        b = m.end()
+        if close:
+            b = page.find(">", b)
+        elif strict:
+            while True:
+                stop = _STOP.search(page, b)
+                b = stop.start() if stop else -1
+                if b < 0 or page[b] == ">":
+                    break
+                b = page.find(page[b], b + 1) + 1
+                if not b:
+                    b = -1
+                    break
+            if b < 0:
+                strict = False
+        if not close and not strict:
+            b = page.find(">", m.end())
+        name = m[0].lower()
+        at = b + 1
+        if close:
+            yield a, at, None, "", name
+        elif name in _RAW_END:
+            end = _RAW_END[name].search(page, at)
+            at = end.end() if end else len(page)
+            yield a, at, None, "", None
+        else:
+            yield a, at, name, page[m.end() : b], None
+
+
 def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
-    """(text, path names, share of linked characters) of each block with text, in page order."""
+    """(text, path names, share of linked characters) of each block with text, in page order, in linear time."""
     out = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    places: dict[str, list[int]] = {}
     text: list[str] = []
     linked = total = 0
     in_link = 0
@@ -45,10 +108,14 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
         if text:
             words = " ".join(html.unescape("".join(text)).split())
             if words:
-                out.append((words, tuple(n for _, names in stack for n in names), linked / max(1, total)))
+                path = stack if len(stack) <= 2 * DEPTH else stack[:DEPTH] + stack[-DEPTH:]
+                out.append((words, tuple(n for _, names in path for n in names), linked / max(1, total)))
             text.clear()
         linked = total = 0
 
+    def pop():
+        places[stack.pop()[0]].pop()
+
     def close(name):
         nonlocal in_link
         if name == "a":
@@ -56,19 +123,17 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
             return
         if name in INLINE:
             return
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == name:
-                flush()
-                del stack[k:]
-                in_link = 0
-                return
-            if stack[k][0] in ("article", "main", "body", "table") and name not in ("article", "main", "body", "html", "table", "div", "section"):
-                break
         flush()
+        k = places[name][-1] if places.get(name) else -1
+        # A closing tag doesn't reach out of the article or table that it stands in.
+        bar = -1 if name in BARS or name in ("html", "div", "section") else max((places[n][-1] for n in (*BARS, "body") if places.get(n)), default=-1)
+        if k > bar or k >= 0 and name in BARS:
+            while len(stack) > k:
+                pop()
+            in_link = 0
 
     at = 0
-    for m in _TAG.finditer(page):
-        a, b = m.span()
+    for a, b, name, attributes, closing in _tags(page):
         if a > at:
             piece = page[at:a]
             text.append(piece)
@@ -76,9 +141,7 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
             if in_link:
                 linked += len(piece)
         at = b
-        name = m[2]
         if name:
-            name = name.lower()
             if name == "a":
                 in_link += 1
             if name in INLINE:
@@ -88,17 +151,19 @@ def leaf_blocks(page: str) -> list[tuple[str, tuple[str, ...], float]]:
             flush()
             in_link = 0
             if name in CLOSES_P and stack and stack[-1][0] == "p":
-                stack.pop()
+                pop()
             elif name in ("li", "option", "tr", "td", "th", "dt", "dd") and stack and (stack[-1][0] == name or name in ("dt", "dd") and stack[-1][0] in ("dt", "dd")):
-                stack.pop()
-            if name not in VOID and not m[3].endswith("/"):
+                pop()
+            if name not in VOID and not attributes.endswith("/"):
                 names = [name]
-                if m[3] and ("class" in m[3].lower() or "id" in m[3].lower() or "role" in m[3].lower()):
-                    for g in _NAMES.findall(m[3]):
+                low = attributes.lower()
+                if "class" in low or "id" in low or "role" in low:
+                    for g in _NAMES.findall(attributes):
                         names += [x for x in _SPLIT.split("".join(g).lower()) if x]
+                places.setdefault(name, []).append(len(stack))
                 stack.append((name, tuple(names)))
-        elif m[4]:
-            close(m[4].lower())
+        elif closing:
+            close(closing)
     if at < len(page):
         text.append(page[at:])
         total += len(page) - at
