@@ -11,32 +11,63 @@ from pyspark.sql import functions as F
 
 from .common import buffers, chunks, ship, trim, windows_of, words_of
 
-#: Bytes of benchmark text in one hash set; a larger benchmark is scanned in several passes.
-SET_BYTES = 32 << 20
+#: Bytes of benchmark text in one hash set, which takes about five times that; a larger benchmark is scanned in several passes.
+SET_BYTES = 16 << 20
 _FILTER_BITS = 22
+#: Windows whose items a task keeps looked up.
+_KEPT = 20_000
 
 
-def _item_windows(items: list[tuple[object, str]], width: int) -> dict:
-    """Hash set of the windows of the items: by window length, sorted hashes with words and item ids."""
-    texts = [t or "" for _, t in items]
-    raw, off = buffers(pa.array(texts, pa.string()))
-    by_len: dict[int, dict[int, dict[bytes, set]]] = {}
-    for lo, hi in chunks(off):
-        low, s, e, doc, h = words_of(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
-        word = [low[a:b].tobytes() for a, b in zip(s, e, strict=True)]
-        per = np.bincount(doc, minlength=hi - lo)
-        for n in {min(width, int(c)) for c in per if c}:
-            at, keys = windows_of(h, doc, n)
-            keep = per[doc[at]] >= width if n == width else per[doc[at]] == n
-            for i, k in zip(at[keep].tolist(), keys[keep].tolist(), strict=True):
-                by_len.setdefault(n, {}).setdefault(k, {}).setdefault(b" ".join(word[i : i + n]), set()).add(items[lo + int(doc[i])][0])
-    out = {}
-    for n, table in by_len.items():
-        keys = np.array(sorted(table), np.uint64)
-        bloom = np.zeros(1 << _FILTER_BITS, bool)
-        bloom[(keys >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-        out[n] = (keys, bloom, {k: {w: sorted(map(str, ids - {None})) for w, ids in v.items()} for k, v in table.items()})
-    return out
+class WindowSet:
+    """Hash set of the windows of benchmark items, in flat arrays.
+
+    By window length: sorted hashes, each with its item and the span of its words in one buffer, in which the items'
+    normalised words are joined by a space. So a window costs 24 bytes beside the words, and a hit is verified by
+    comparing bytes.
+    """
+
+    def __init__(self, items: list[tuple[object, str]], width: int):
+        self.names = [None if i is None else str(i) for i, _ in items]
+        raw, off = buffers(pa.array([t or "" for _, t in items], pa.string()))
+        words, found, base = [], {}, 0
+        for lo, hi in chunks(off):
+            low, s, e, doc, h = words_of(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+            size = e - s
+            at = np.cumsum(size + 1) - size - 1
+            text = np.full(int((size + 1).sum()), 32, np.uint8)
+            inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            text[np.repeat(at, size) + inner] = low[np.repeat(s, size) + inner]
+            per = np.bincount(doc, minlength=hi - lo)
+            for n in {min(width, int(c)) for c in per if c}:
+                first, keys = windows_of(h, doc, n)
+                keep = per[doc[first]] >= width if n == width else per[doc[first]] == n
+                first, keys = first[keep], keys[keep]
+                last = first + n - 1
+                found.setdefault(n, []).append((keys, base + at[first], (at[last] + size[last] - at[first]).astype(np.int32), (lo + doc[first]).astype(np.int32)))
+            words.append(text)
+            base += len(text)
+        self.text = np.concatenate(words) if words else np.zeros(0, np.uint8)
+        self.by_width = {}
+        for n, rows in found.items():
+            keys, at, size, item = (np.concatenate(c) for c in zip(*rows, strict=True))
+            order = np.argsort(keys, kind="stable")
+            maybe = np.zeros(1 << _FILTER_BITS, bool)
+            maybe[(keys >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
+            self.by_width[n] = (keys[order], maybe, at[order], size[order], item[order])
+
+    def nbytes(self) -> int:
+        """Bytes of all arrays."""
+        return self.text.nbytes + sum(a.nbytes for t in self.by_width.values() for a in t)
+
+    def items_of(self, n: int, key: int) -> dict[bytes, set[str]]:
+        """The windows of a hash, as joined words, with the ids of the items that have them."""
+        keys, _, at, size, item = self.by_width[n]
+        out: dict[bytes, set[str]] = {}
+        for k in range(int(np.searchsorted(keys, np.uint64(key))), int(np.searchsorted(keys, np.uint64(key), side="right"))):
+            ids = out.setdefault(self.text[at[k] : at[k] + size[k]].tobytes(), set())
+            if self.names[item[k]] is not None:
+                ids.add(self.names[item[k]])
+        return out
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -53,6 +84,7 @@ def _scan(batches, sets, carry):
     """Adds to each row the word and byte spans hit and the items found."""
     trim()
     sets = sets.value
+    known: dict = {}
     for batch in batches:
         raw, off = buffers(batch.column("text"))
         n = batch.num_rows
@@ -64,13 +96,17 @@ def _scan(batches, sets, carry):
             first = np.zeros(hi - lo + 1, np.int64)
             np.cumsum(n_words[lo:hi], out=first[1:])
             base = off[lo:hi] - off[lo]
-            for width, (keys, bloom, table) in sets.items():
+            for width, (keys, likely, *_) in sets.by_width.items():
                 at, win = windows_of(h, doc, width)
-                maybe = np.flatnonzero(bloom[(win >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
+                maybe = np.flatnonzero(likely[(win >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
                 where = np.minimum(np.searchsorted(keys, win[maybe]), len(keys) - 1)
                 maybe = maybe[keys[where] == win[maybe]]
                 for i, k in zip(at[maybe].tolist(), win[maybe].tolist(), strict=True):
-                    ids = table[k].get(b" ".join([low[a:b].tobytes() for a, b in zip(s[i : i + width].tolist(), e[i : i + width].tolist(), strict=True)]))
+                    if (width, k) not in known:
+                        if len(known) >= _KEPT:
+                            known.clear()
+                        known[width, k] = sets.items_of(width, k)
+                    ids = known[width, k].get(b" ".join([low[a:b].tobytes() for a, b in zip(s[i : i + width].tolist(), e[i : i + width].tolist(), strict=True)]))
                     if ids is None:
                         continue  # equal hash, other words
                     d = int(doc[i])
@@ -109,7 +145,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: st
     Words are runs of digits, letters and non-ASCII characters, ASCII lower-cased. A window is `width`
     consecutive words of an item, or all of a shorter item. Window hashes are looked up in a broadcast
     hash set, and each hit is verified word by word, so a hash collision never counts. The set's size is
-    bounded: a benchmark of more than set_bytes is scanned in several passes, each with its own set. No
+    bounded: a benchmark of more than set_bytes of text is scanned in several passes, each with its own set. No
     shuffle: rows stay where they were read.
 
     Null or empty texts have no words and no hits; null item texts are ignored; an item with a null id
@@ -122,7 +158,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: st
     out = docs.select(F.col(id_col).alias("rid"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     schema = f"rid {idt}, text string, n_words long, word_spans array<long>, byte_spans array<long>, items array<string>"
     for k, rows in enumerate(benchmark_slices(benchmark, set_bytes=set_bytes)):
-        sets = spark.sparkContext.broadcast(_item_windows(rows, width))
+        sets = spark.sparkContext.broadcast(WindowSet(rows, width))
         out = out.mapInArrow(lambda it, sets=sets, carry=bool(k): _scan(it, sets, carry), schema)
     return out
 
@@ -147,7 +183,11 @@ def _cut(batches):
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text) of every row, with the words of each hit and what stands between them cut out."""
+    """(id, text) of every row, with the words of each hit and what stands between them cut out.
+
+    A null text becomes an empty one; texts without a hit stay as they are; repeated rows are each cut; an empty table
+    gives an empty result; other columns are dropped.
+    """
     hits = find_hits(docs, benchmark, width, id_col, text_col).select("rid", "text", "byte_spans")
     rid = hits.schema["rid"].dataType.simpleString()
     return hits.mapInArrow(_cut, f"rid {rid}, text string").select(F.col("rid").alias(id_col), F.col("text").alias(text_col))
@@ -163,11 +203,14 @@ def _drop(batches, sets):
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, width: int = 10, set_bytes: int = SET_BYTES) -> DataFrame:
-    """All columns of the rows that have no hit, in place: no join and no shuffle. docs has a column `text`."""
+    """All columns of the rows that have no hit, in place: no join and no shuffle. docs has a column `text`.
+
+    Null and empty texts have no hit and stay; repeated rows are each judged; an empty table gives an empty result.
+    """
     spark = docs.sparkSession
     ship(spark)
     out = docs
     for rows in benchmark_slices(benchmark, set_bytes=set_bytes):
-        sets = spark.sparkContext.broadcast(_item_windows(rows, width))
+        sets = spark.sparkContext.broadcast(WindowSet(rows, width))
         out = out.mapInArrow(lambda it, sets=sets: _drop(it, sets), docs.schema)
     return out
