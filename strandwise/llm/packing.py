@@ -215,9 +215,12 @@ _OUT = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "
 def _pack(batches, path, end_id, capacity, pool):
     words = kept(("words", path), lambda: WordIds(path))
     end = spell([end_id])
+    kind = None
 
     def rows():
+        nonlocal kind
         for batch in batches:
+            kind = batch.column("doc_id").type
             keys, texts = batch.column("doc_id").to_pylist(), batch.column("text")
             for lo, hi in chunks(buffers(texts)[1], 4 * CHUNK_BYTES):
                 for key, ids in zip(keys[lo:hi], words.ids([t or "" for t in texts[lo:hi].to_pylist()]), strict=True):
@@ -227,15 +230,15 @@ def _pack(batches, path, end_id, capacity, pool):
     for x in pack_rows(rows(), capacity, pool, TaskContext.get().partitionId()):
         out.append(x)
         if len(out) == 10_000:
-            yield _batch(out)
+            yield _batch(out, kind)
             out = []
     if out:
-        yield _batch(out)
+        yield _batch(out, kind)
 
 
-def _batch(out):
+def _batch(out, kind):
     cols = list(zip(*out, strict=True))
-    return pa.RecordBatch.from_arrays([pa.array(cols[0]), *(pa.array(c, pa.int64()) for c in cols[1:])], _OUT)
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], kind), *(pa.array(c, pa.int64()) for c in cols[1:])], _OUT)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 2, pool: int = 192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -244,7 +247,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, e
     Each task packs the rows it reads, in one pass without a shuffle, holding at most `pool` remainders.
     sequence_id is the task's number times 2**32 plus a counter. Null or empty text is the end token
     alone; very long texts are cut into as many windows as they fill; repeated rows are each packed;
-    other columns are ignored; an empty table gives no rows; null ids stay null.
+    other columns are ignored; an empty table gives no rows; ids of any type keep it, and null ids stay null.
     """
     ship(docs.sparkSession)
     kind = docs.select(F.col(id_col)).dtypes[0][1]
