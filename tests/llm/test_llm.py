@@ -67,7 +67,21 @@ def test_token_counts(frame, docs):
     for i, s in zip(docs.doc_id, docs.text, strict=True):
         s = s or ""
         assert (got[i].n_bytes, got[i].n_tokens) == (len(s.encode()), len(t.encode(s, add_special_tokens=False).ids))
-        assert len(got[i].prefix_tokens) == len(s.encode()) + 1 and got[i].prefix_tokens[-1] == got[i].n_tokens
+        assert len(got[i].prefix_tokens) == len(s) + 1 and got[i].prefix_tokens[-1] == got[i].n_tokens
+
+
+def test_every_prefix_and_budget(spark):
+    t, rng = Tokenizer.from_file(BYTE), random.Random(3)
+    bits = ["a", "'", "r", "e", " ", "  ", "\n", "1", "!", "<|endoftext|>", "<|", "é", "日", "l", "s", "\t", "word", "'re", "don't"]
+    texts = ["a  b", "x <|endoftext|> y", "foo!!<|endoftext|><|endoftext|>  \t b<|endoft", "internationalization of the thearsion", "x\x1c\x1c y", "", *("".join(rng.choices(bits, k=25)) for _ in range(150))]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for budget in (0, 1, 2, 7):
+        rows = token_counts.token_counts(frame, BYTE, with_table=True, budget=budget).withColumn("c", token_counts.chars_within("prefix_tokens", budget)).collect()
+        for r in rows:
+            s = texts[r.doc_id]
+            want = [len(t.encode(s[:k], add_special_tokens=False).ids) for k in range(len(s) + 1)]
+            most = max(k for k, n in enumerate(want) if n <= budget)
+            assert r.prefix_tokens == want and r.chars_within == r.c == most and r.bytes_within == len(s[:most].encode())
 
 
 def test_every_prefix_of_a_piece():
@@ -78,6 +92,13 @@ def test_every_prefix_of_a_piece():
         assert c.prefixes(w.encode()) == [len(t.encode(w[:k], add_special_tokens=False).ids) for k in range(15)]
 
 
+@pytest.mark.parametrize("kind", ["int", "string", "decimal(12,0)"])
+def test_packing_keeps_the_type_of_ids(spark, kind):
+    frame = spark.createDataFrame([(None, "a b"), (None, ""), (7, "c d e")], "doc_id int, text string").selectExpr(f"CAST(doc_id AS {kind}) AS doc_id", "text").coalesce(1)
+    rows = packing.pack_documents(frame, WORDS)
+    assert rows.dtypes[0][1] == kind and sorted(str(r.doc_id) for r in rows.select("doc_id", "doc_tokens").distinct().collect()) == ["7", "None", "None"]
+
+
 def test_packing(frame, docs):
     t = Tokenizer.from_file(WORDS)
     want = {i: t.encode(s or "", add_special_tokens=False).ids + [2] for i, s in zip(docs.doc_id, docs.text, strict=True)}
@@ -145,6 +166,16 @@ def test_decontamination(spark, frame, docs, set_bytes):
         assert decontaminate.keep_clean(frame, b).count() == sum(not r.word_spans for r in got.values())
 
 
+def test_window_set_is_small():
+    rng = random.Random(4)
+    items = [(k, " ".join(f"{rng.randrange(10**6)}" for _ in range(400))) for k in range(800)]
+    s = decontaminate.WindowSet(items, 10)
+    assert s.nbytes() < 6 * sum(len(t) for _, t in items) + (5 << 20)
+    two = decontaminate.WindowSet([(1, "A b C"), (2, "a B c"), (None, "a b c"), (3, "a b d")], 10)
+    keys = two.by_width[3][0]
+    assert [two.items_of(3, int(k)) for k in sorted(set(keys.tolist()), key=lambda k: -(keys == k).sum())] == [{b"a b c": {"1", "2"}}, {b"a b d": {"3"}}]
+
+
 def brute_repeats(rows, depth=100):
     seen, out = set(), {}
     for i, t in sorted(rows):
@@ -408,6 +439,16 @@ def test_html_text(spark):
         assert got[r.page_id].text == want
 
 
+def test_long_and_broken_pages():
+    # Each of these took minutes or more with a scanner that starts anew at every "<".
+    for part in ("<a ", '<a "', "<div>", "</x>", "<p id='u'>x", "<!-- ", "<x><y></z>", "<![", "<script>", "<div id=u>t"):
+        html_text.leaf_blocks(part * 30_000)
+    html_text.leaf_blocks("<y><article>" + "<x>" * 30_000 + "</y>" * 30_000 + ">")
+    assert html_text.leaf_blocks('<p>one <a title="x>two</a> three <b>four</b><!-- five') == [('one two three four', ("p",), 3 / 18)]
+    assert [b[0] for b in html_text.leaf_blocks("<p>a < b <p>c > d <3 <")] == ["a < b", "c > d <3 <"]
+    assert html_text.leaf_blocks("<p>" + "word " * 400_000)[0][0] == ("word " * 400_000).strip()
+
+
 def test_lstm_gradient():
     rng = np.random.default_rng(1)
     net = html_text.BiLSTM(5, 4)
