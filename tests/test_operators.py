@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandwise.functions import text as T
-from strandwise.operators import rank, resolve
+from strandwise.operators import order, rank, resolve
+from strandwise.operators.similarity import TRACKS
 from strandwise.sources import books as B
 
 
@@ -82,12 +83,60 @@ def test_weights():
 
 def test_percentile_and_blend(spark):
     random.seed(1)
-    s = spark.createDataFrame([(1, t, c, random.random()) for t in ("a", "b") for c in range(9)], "seed long, track string, cand long, score double")
-    p = rank.rank_percentile(s)
-    assert sorted({round(r.pct, 6) for r in p.collect()}) == [round(k / 10, 6) for k in range(1, 10)]
-    w = spark.createDataFrame([("a", 1.0), ("b", 0.0), ("image", 5.0)], "track string, w double")
-    pct = {r.cand: r.pct for r in p.where("track = 'a'").collect()}
-    assert {r.cand: r.fused for r in rank.blend(p, w).collect()} == {c: round(v, 6) for c, v in pct.items()}
+    s = spark.createDataFrame([(1, t, c, random.random() if c else None) for t in ("a", "b") for c in range(10)], "seed long, track string, cand long, score double")
+    p = rank.rank_percentile(s).collect()
+    assert sorted({round(r.pct, 6) for r in p}) == [0.0, *[round(k / 10, 6) for k in range(1, 10)]]
+    assert {r.cand for r in p if r.pct == 0} == {0}
+
+
+def wide(spark, n=40, seeds=(100, 200)):
+    rng = random.Random(4)
+    rows = [(s, c, 0b01111 if s == 100 else 0b00101, *[round(rng.random(), 2) if t != "image" and (s == 100 or t in ("tfidf", "authors")) else None for t in TRACKS]) for s in seeds for c in range(n)]
+    return spark.createDataFrame(rows, "seed long, cand long, live int, " + ", ".join(f"{t} double" for t in TRACKS))
+
+
+def test_ranks_are_the_same_in_one_task_and_in_ranges(spark):
+    counts = {"n": 41, "tfidf": 41, "semantic": 41, "authors": 41, "numerics": 41, "image": 0}
+    one, many = (sorted(map(tuple, rank.percentiles(wide(spark), counts, spread).select("seed", "cand", *[f"p_{t}" for t in TRACKS]).collect())) for spread in (False, True))
+    assert one == many and len(one) == 80
+    assert {r[3] for r in one if r[0] == 200} == {0.0}
+
+
+def test_top_fused_is_the_blend(spark):
+    counts = {"n": 41, "tfidf": 41, "semantic": 41, "authors": 41, "numerics": 41, "image": 0}
+    ranked = rank.percentiles(wide(spark), counts)
+    sets = [rank.DEFAULT_WEIGHTS, {"image": 1.0}, {"authors": 2.0, "tfidf": -1.0}]
+    got = {(r.g, r.seed, r.cand): r.fused for r in rank.top_fused(ranked, sets, 7).collect()}
+    rows = ranked.collect()
+    for g, w in enumerate(sets, 1):
+        for s in (100, 200):
+            share = rank.renormalised(w, rank.live_tracks(0b01111 if s == 100 else 0b00101))
+            want = sorted(((-round(sum(r[f"p_{t}"] * v for t, v in share.items()), 9), r.cand) for r in rows if r.seed == s))[:7]
+            assert sorted((-round(v, 9), c) for (a, b, c), v in got.items() if (a, b) == (g, s)) == want
+    direct = {(r.seed, r.cand): r.f for r in ranked.select("seed", "cand", rank.fused_column(rank.DEFAULT_WEIGHTS).alias("f")).collect()}
+    assert all(abs(direct[b, c] - v) < 1e-12 for (a, b, c), v in got.items() if a == 1)
+
+
+def test_running_and_quantiles(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "b", None]), i, rng.randrange(5)) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, i long, v long").repartition(5)
+    got = {(r.g, r.i): r.before for r in order.running(df, ["i"], F.col("v"), ["g"]).collect()}
+    assert got == {(g, i): sum(v for h, j, v in rows if h == g and j < i) for g, i, _ in rows}
+    xs = [rng.random() if rng.random() < 0.8 else None for _ in range(151)]
+    frame = spark.createDataFrame([(x,) for x in xs], "x double")
+    have = np.array([x for x in xs if x is not None])
+    assert order.quantiles(frame, F.col("x"), [0.0, 0.5, 0.95, 1.0]) == pytest.approx([have.min(), np.median(have), np.percentile(have, 95), have.max()])
+    assert order.quantiles(frame.where("x > 2"), F.col("x"), [0.5]) == [None]
+    sizes = order.with_group_count(df, ["g"]).collect()
+    assert len(sizes) == 300 and all(r.n == sum(x[0] == r.g for x in rows) for r in sizes)
+
+
+def test_mmr_over_sparse_spaces(spark):
+    rel = spark.createDataFrame([(1, c, x) for c, x in enumerate([0.9, 0.89, 0.88, 0.87, 0.1])], "seed long, cand long, rel double")
+    v = spark.createDataFrame([(0, [1, 2], [0.6, 0.8]), (1, [9], [1.0]), (2, [2, 1], [0.8, 0.6]), (3, [], []), (4, None, None)], "cand long, t_ids array<long>, t_w array<double>")
+    assert [r.cand for r in rank.mmr(rel, v, 3, 0.5).orderBy("rank").collect()][:2] == [0, 2]
+    assert [r.cand for r in rank.mmr(rel, v, 3, 0.5, "standard").orderBy("rank").collect()][:2] == [0, 1]
 
 
 def test_csv(spark, tmp_path):
