@@ -3,49 +3,33 @@
 from __future__ import annotations
 
 import contextlib
-import os
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..runtime import ship, shared_root
+
 #: Bytes of text handled at once by the numpy kernels (their temporaries are 8 to 40 times that).
 CHUNK_BYTES = 1 << 20
-_SHIPPED: set[str] = set()
-#: Scratch tables of this session that clear_scratch() may delete: (folder, or None, and table name).
-_MADE: list[tuple[str | None, str]] = []
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application (they need not share a file system)."""
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = os.path.join(tempfile.mkdtemp(prefix="strandwise-"), "strandwise_code.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for p in root.rglob("*.py"):
-            z.write(p, p.relative_to(root.parent))
-    spark.sparkContext.addPyFile(target)
-    _SHIPPED.add(app)
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a local one is set only where none is (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        have = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if have.isDefined():
-            found = have.get()
-        else:
-            found = tempfile.mkdtemp(prefix="strandwise-ck-")
-            spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+#: Scratch tables of this session that clear_scratch() may delete: (owner, table name or None, folder).
+_MADE: list[tuple[str, str | None, str]] = []
+_OWNER = [""]
+
+
+scratch_root = shared_root
+
+
+@contextlib.contextmanager
+def owned(name: str):
+    """Scratch tables made inside belong to `name`, so that they can be deleted apart from all others."""
+    before, _OWNER[0] = _OWNER[0], name
+    try:
+        yield
+    finally:
+        _OWNER[0] = before
 
 
 def scratch(df: DataFrame, name: str) -> DataFrame:
@@ -55,7 +39,7 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
-    _MADE.append((None, path))
+    _MADE.append((_OWNER[0], None, path))
     return out
 
 
@@ -69,17 +53,17 @@ def drop_scratch(df: DataFrame) -> None:
     path = getattr(df, "_scratch_path", None)
     if path:
         _delete(df.sparkSession, path)
-        _MADE.remove((None, path))
+        _MADE[:] = [x for x in _MADE if x[2] != path]
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete all scratch tables made so far. Call it when earlier results have been written elsewhere."""
-    while _MADE:
-        table, path = _MADE.pop()
-        if table:
-            spark.sql(f"DROP TABLE IF EXISTS {table}")
+def clear_scratch(spark: SparkSession, owner: str | None = None) -> None:
+    """Delete the scratch tables made so far, all or those of one owner. Call it when results that read them have been written."""
+    for x in [x for x in _MADE if owner is None or x[0] == owner]:
+        _MADE.remove(x)
+        if x[1]:
+            spark.sql(f"DROP TABLE IF EXISTS {x[1]}")
         else:
-            _delete(spark, path)
+            _delete(spark, x[2])
     release(spark)
 
 
@@ -192,7 +176,7 @@ def bucketed(df: DataFrame, key: str, n: int, name: str) -> DataFrame:
     spark = df.sparkSession
     table = f"strandwise_{name}_{uuid.uuid4().hex}"
     df.repartition(n, key).write.bucketBy(n, key).saveAsTable(table, format="parquet")
-    _MADE.append((table, ""))
+    _MADE.append((_OWNER[0], table, ""))
     return spark.table(table)
 
 
