@@ -2,8 +2,9 @@
 
 decode() reads prefix codes, back-references, colour caches and meta prefix groups, and inverts the predictor,
 cross-colour, subtract-green and colour-indexing transforms. Images whose only varying channel is one prefix-coded
-green plane take a fast path: the place of the next symbol is found for every bit at once, and the chain of places is
-followed by doubling. encode_plane() writes such images; encode() writes any ARGB image with chosen transforms.
+green plane with back-references take a fast path: the place of the next symbol is found for every bit at once, and
+the chain of places is followed by doubling. encode_plane() writes such images; encode() writes any ARGB image with
+chosen transforms.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import hashlib
 import heapq
 import struct
 import zlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ NEAR = (
     (-7, 4), (8, 1), (8, 2), (6, 6), (-6, 6), (8, 3), (5, 7), (-5, 7), (7, 5), (-7, 5), (8, 4), (6, 7), (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
 )
 PREDICTOR, CROSS, GREEN, INDEX = range(4)
+#: Shortest back-reference that is looked for.
+LEAST_MATCH = 12
 CACHE_MULTIPLIER = 0x1E35A7BD
 _REV8 = np.array([int(f"{i:08b}"[::-1], 2) for i in range(256)], np.int64)
 
@@ -164,15 +168,50 @@ def _extra(r: Reader, s: int) -> int:
     return ((2 + (s & 1)) << n) + r.bits(n) + 1
 
 
-def _plane(r: Reader, green: Prefix, n: int) -> np.ndarray | None:
-    """n green symbols, by doubling along the chain of code places; None if one is not a literal."""
+#: Number of extra bits of each length or distance symbol.
+_EXTRA = np.array([0 if k < 4 else (k - 2) >> 1 for k in range(40)], np.int32)
+
+
+def _distance(r: Reader, dist: Prefix, w: int) -> int:
+    d = _extra(r, dist.read(r))
+    if d > 120:
+        return d - 120
+    dx, dy = NEAR[d - 1]
+    return max(1, dx + dy * w)
+
+
+def _copy(out: np.ndarray, at: int, size: int, d: int) -> None:
+    """out[at:at+size] from d places before, where the copy may read what it has just written."""
+    if d > at or at + size > len(out):
+        raise ValueError("back-reference leaves the image")
+    if d >= size:
+        out[at : at + size] = out[at - d : at - d + size]
+    else:
+        out[at : at + size] = np.resize(out[at - d : at], size)
+
+
+def _plane(r: Reader, green: Prefix, dist: Prefix, n: int, w: int) -> np.ndarray:
+    """n green values, literals and back-references, by doubling along the chain of code places.
+
+    Every bit is taken for the start of a code, with the extra bits and the distance code of a back-reference; so each
+    place knows the next one, and the places on the true chain are found by jumps of 1, 2, 4 ... codes.
+    """
     first = r.at >> 3
-    # Codes of n symbols end within this many bytes.
-    data = np.frombuffer(r.data, np.uint8, min(len(r.data) - first, (n * green.bits >> 3) + 12), first).astype(np.uint32)
+    copies = int(green.symbol.max()) > 255
+    data = np.frombuffer(r.data, np.uint8, min(len(r.data) - first, (n * (green.bits + (30 if copies else 0)) >> 3) + 12), first).astype(np.uint32)
     word = data[:-2] | data[1:-1] << np.uint32(8) | data[2:] << np.uint32(16)
-    at = (word[:, None] >> np.arange(8, dtype=np.uint32)).ravel() & np.uint32((1 << green.bits) - 1)
+    raw = (word[:, None] >> np.arange(8, dtype=np.uint32)).ravel()
+    at = raw & np.uint32((1 << green.bits) - 1)
     step = green.size[at]
     m = len(step)
+    if copies:
+        k = np.flatnonzero(green.symbol[at] > 255).astype(np.int32)
+        extra = _EXTRA[np.minimum(green.symbol[at[k]] - 256, 39)]
+        q = np.minimum(k + step[k] + extra, m - 1)
+        code = raw[q] & np.uint32((1 << dist.bits) - 1)
+        d, size = (dist.one, 0) if dist.one is not None else (dist.symbol[code], dist.size[code])
+        step = step.copy()
+        step[k] += extra + size + _EXTRA[d]
     jump = [np.minimum(np.arange(m, dtype=np.int32) + step, m - 1)]
     while len(jump) < 6 and 1 << len(jump) < n:
         jump.append(jump[-1][jump[-1]])
@@ -181,16 +220,38 @@ def _plane(r: Reader, green: Prefix, n: int) -> np.ndarray | None:
     for _ in range(-(-n // (1 << (len(jump) - 1)))):
         places.append(p)
         p = int(far[p])
+        if p == m - 1:
+            break
     places = np.array(places, np.int32)
     for j in reversed(jump[:-1]):
         both = np.empty(2 * len(places), np.int32)
         both[::2], both[1::2] = places, j[places]
         places = both
     places = places[:n]
-    out = green.symbol[at[places]]
-    if n and out.max() > 255:
-        return None
-    r.at += int(places[-1] + step[places[-1]]) - (r.at & 7) if n else 0
+    symbol = green.symbol[at[places]]
+    start = r.at - (r.at & 7)
+    if symbol.max() < 256:
+        if len(places) < n:
+            raise ValueError("image data ends early")
+        out, last = symbol, int(places[-1] + step[places[-1]])
+    else:
+        s = np.minimum(symbol - 256, 39)
+        bits = _EXTRA[np.maximum(s, 0)]
+        more = raw[np.minimum(places + green.size[at[places]], m - 1)].astype(np.int64) & ((1 << bits.astype(np.int64)) - 1)
+        size = np.where(symbol < 256, 1, np.where(s < 4, s + 1, ((2 + (s & 1)) << bits) + more + 1))
+        end = np.cumsum(size)
+        stop = int(np.searchsorted(end, n))
+        if stop == len(end) or end[stop] != n:
+            raise ValueError("image data ends early")
+        places, symbol, size, end = places[: stop + 1], symbol[: stop + 1], size[: stop + 1], end[: stop + 1]
+        out = np.zeros(n, np.int32)
+        plain = symbol < 256
+        out[end[plain] - 1] = symbol[plain]
+        for i in np.flatnonzero(~plain).tolist():
+            r.at = start + int(places[i]) + int(green.size[at[places[i]]]) + int(_EXTRA[symbol[i] - 256])
+            _copy(out, int(end[i] - size[i]), int(size[i]), _distance(r, dist, w))
+        last = int(places[-1] + step[places[-1]])
+    r.at = start + last
     if r.at > r.end:
         raise ValueError("image data ends early")
     return out
@@ -215,9 +276,7 @@ def _read_image(r: Reader, w: int, h: int, main: bool = False) -> np.ndarray:
         if g.one is not None and g.one < 256:
             return np.full(n, base | np.uint32(g.one << 8), np.uint32)
         if g.one is None:
-            plane = _plane(r, g, n)
-            if plane is not None:
-                return plane.astype(np.uint32) << np.uint32(8) | base
+            return _plane(r, g, dist, n, w).astype(np.uint32) << np.uint32(8) | base
     out = [0] * n
     cache = [0] * (1 << cache_bits)
     shift = 32 - cache_bits
@@ -231,12 +290,8 @@ def _read_image(r: Reader, w: int, h: int, main: bool = False) -> np.ndarray:
             out[at] = red.read(r) << 16 | s << 8 | blue.read(r) | alpha.read(r) << 24
             at += 1
         elif s < 280:
-            size, d = _extra(r, s - 256), _extra(r, dist.read(r))
-            if d > 120:
-                d -= 120
-            else:
-                dx, dy = NEAR[d - 1]
-                d = max(1, dx + dy * w)
+            size = _extra(r, s - 256)
+            d = _distance(r, dist, w)
             if d > at or at + size > n:
                 raise ValueError("back-reference leaves the image")
             for k in range(at, at + size):
@@ -446,38 +501,94 @@ def _header(wr: Writer, w: int, h: int, alpha: int) -> None:
     wr.bits(0, 3)
 
 
+def _matches(flat: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, length, distance) of back-references, in order and apart from each other.
+
+    Places with equal eight bytes are neighbours in one sort; places whose last equal one lies equally far back, one
+    after the other, make a run, and a run is one match. Greedy from the left.
+    """
+    n = len(flat)
+    if n < 2 * LEAST_MATCH:
+        return []
+    key = np.ndarray((n - 7,), "<u8", flat.tobytes(), 0, (1,)).astype(np.uint64)
+    # A short text's places are sorted by 16 bits of a hash, which is several times as fast; a clash hides a match.
+    order = np.argsort(((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.uint16) if n < 20_000 else key, kind="stable")
+    again = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    far = np.zeros(len(key), np.int64)
+    far[order[again + 1]] = order[again + 1] - order[again]
+    edge = np.flatnonzero(np.r_[True, far[1:] != far[:-1], True])
+    size = np.diff(edge) + 7
+    good = (far[edge[:-1]] > 0) & (size >= LEAST_MATCH)
+    out, at = [], 0
+    for start, length in zip(edge[:-1][good].tolist(), size[good].tolist(), strict=True):
+        end = start + length
+        d = int(far[start])
+        start = max(start, at)
+        while end - start >= LEAST_MATCH:
+            part = min(end - start, 4096)
+            out.append((start, part, d))
+            start = at = start + part
+    return out
+
+
 def encode_plane(plane: np.ndarray) -> bytes:
-    """A grey image (height x width bytes) as its green channel; red and blue 0, alpha 255."""
+    """A grey image (height x width bytes) as its green channel, with back-references; red and blue 0, alpha 255."""
     h, w = plane.shape
     flat = plane.ravel()
     wr = Writer()
     _header(wr, w, h, 0)
     wr.bits(0, 3)  # no transform, no colour cache, no meta prefix codes
+    found = _matches(flat)
+    near = _near_codes(w)
+    plain = np.ones(len(flat), bool)
+    fields = np.zeros((len(found), 6), np.int64)
+    for row, (start, length, d) in zip(fields, found, strict=True):
+        plain[start : start + length] = False
+        row[:3], row[3:] = _split(length), _split(near.get(d, d + 120))
     lengths = np.zeros(280, np.int64)
-    lengths[:256] = lengths_for(np.bincount(flat, minlength=256))
+    lengths[:] = lengths_for(np.bincount(np.r_[flat[plain], 256 + fields[:, 0]], minlength=280))
     _write_prefix(wr, lengths)
-    for only in (0, 0, 255, 0):
+    for only in (0, 0, 255):
         wr.bits(1 | 0 << 1 | 1 << 2, 3)
         wr.bits(only, 8)
+    far = lengths_for(np.bincount(fields[:, 3], minlength=40))
+    _write_prefix(wr, far)
     head, start = wr.tobytes(), wr.at
-    if np.count_nonzero(lengths) == 1:
+    if np.count_nonzero(lengths) == 1 and not found:
         return _container(head)
-    code, size = canonical(lengths).astype(np.uint16), lengths.astype(np.int32)
-    n = size[flat]
-    first = np.cumsum(n, dtype=np.int64) - n
-    within = np.arange(int(first[-1] + n[-1]), dtype=np.int64) - np.repeat(first, n)
-    bit = (np.repeat(code[flat], n) >> within.astype(np.uint16)).astype(np.uint8) & 1
+    if np.count_nonzero(lengths) == 1:  # a lone symbol beyond a byte has a partner, see _write_prefix
+        lengths[0] = 1
+    code, size = canonical(lengths), lengths
+    far_code, far_size = (canonical(far), far) if np.count_nonzero(far) > 1 else (np.zeros(40, np.int64), np.zeros(40, np.int64))
+    # Each literal is one value of so many bits, each back-reference four; in the order of their places.
+    code, size = code.astype(np.int32), size.astype(np.int32)
+    value, n = code[flat], size[flat]
+    if found:
+        g, d = 256 + fields[:, 0], fields[:, 3]
+        place = np.repeat(np.cumsum(plain)[[m[0] for m in found]], 4)
+        value = np.insert(value[plain], place, np.stack([code[g], fields[:, 1], far_code[d], fields[:, 4]], axis=1).ravel())
+        n = np.insert(n[plain], place, np.stack([size[g], fields[:, 2], far_size[d], fields[:, 5]], axis=1).ravel())
+    first = np.cumsum(n) - n
+    within = np.arange(int(first[-1] + n[-1]), dtype=np.int32) - np.repeat(first.astype(np.int32), n)
+    bit = (np.repeat(value, n) >> within).astype(np.uint8) & 1
     out = np.zeros(start + len(bit), np.uint8)
     out[:start] = np.unpackbits(np.frombuffer(head, np.uint8), bitorder="little")[:start]
     out[start:] = bit
     return _container(np.packbits(out, bitorder="little").tobytes())
 
 
-def _symbols(px: list[int], w: int, cache_bits: int, refs: bool) -> list[tuple]:
-    """Literals, back-references and cache hits that write the pixels."""
-    near = {}
+@cache
+def _near_codes(w: int) -> dict[int, int]:
+    """Short codes of near distances in an image of width w."""
+    near: dict[int, int] = {}
     for k, (dx, dy) in enumerate(NEAR):
         near.setdefault(max(1, dx + dy * w), k + 1)
+    return near
+
+
+def _symbols(px: list[int], w: int, cache_bits: int, refs: bool) -> list[tuple]:
+    """Literals, back-references and cache hits that write the pixels."""
+    near = _near_codes(w)
     out, seen, cache, at, filled = [], {}, {}, 0, 0
     while at < len(px):
         best = 0
@@ -609,10 +720,17 @@ def payload_of(text: str) -> tuple[int, bytes]:
 
 
 def store(payload: bytes) -> bytes:
-    """Payload as a grey image: rows of 64 bytes, or of a multiple if there are more than 2 ** 14 of them."""
+    """Payload as a grey image: rows of 64 bytes, or of a multiple if there are more than 2 ** 14 of them.
+
+    A payload of at most 16 kinds of bytes is stored through a palette, two to eight pixels in one, any other one as
+    its green channel; both with back-references.
+    """
     wide = 64 * (-(-len(payload) // (64 << 14)))
     more = -len(payload) % wide
-    return encode_plane(np.frombuffer(payload + b"\0" * more, np.uint8).reshape(-1, wide))
+    grey = np.frombuffer(payload + b"\0" * more, np.uint8).reshape(-1, wide)
+    if len(payload) <= 1 << 16 and np.count_nonzero(np.bincount(grey.ravel(), minlength=256)) <= 16:
+        return encode(0xFF000000 | grey.astype(np.uint32) << np.uint32(8), (INDEX,), refs=True)
+    return encode_plane(grey)
 
 
 def _media(batches):
