@@ -412,6 +412,7 @@ def _result(batches, with_text, carry):
         )
 
 
+#: Rows without an id get numbers of their own from here up to half of this, drawn by hash: below all ids.
 _NULL_ID = -(1 << 63)
 
 
@@ -421,8 +422,9 @@ def remove_repeats(docs: DataFrame, depth: int = 100, id_col: str = "doc_id", te
     A byte is removed if a string of `depth` bytes covers it that also starts earlier: in a row with a smaller id,
     or in the same text further left. Strings are judged on the input, so overlapping repeats count whole.
 
-    Null or empty texts and texts shorter than depth lose nothing; a null id sorts first; rows that share an id are
-    ordered by a hash of their texts, so of equal rows one stays whole; an empty table gives an empty result. Texts of
+    Null or empty texts and texts shorter than depth lose nothing; rows without an id sort first, in an order
+    drawn by hash (ids must not be below -2 ** 62); rows that share an id are ordered by a hash of their texts, so of
+    equal rows one stays whole; an empty table gives an empty result. Texts of
     any length are read whole. Other columns are ignored unless named in carry. The kept text is cut on byte
     positions; bytes of a character of which only a part is left are dropped from it (not from kept_sha256).
     depth must be at least 60.
@@ -435,7 +437,8 @@ def remove_repeats(docs: DataFrame, depth: int = 100, id_col: str = "doc_id", te
     carry = carry or []
     from pyspark.sql import Window
 
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(c).alias(f"carry_{c}") for c in carry])
+    drawn = F.lit(_NULL_ID) + F.pmod(F.xxhash64(text_col, F.monotonically_increasing_id()), F.lit(1 << 61))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), drawn).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(c).alias(f"carry_{c}") for c in carry])
     rows = rows.repartition(n, "id").withColumn("j", F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("text"))) - 1)
     texts = bucketed(rows, "id", n, "texts")
     del rows
@@ -472,4 +475,4 @@ def remove_repeats(docs: DataFrame, depth: int = 100, id_col: str = "doc_id", te
     both = texts.select("id", "j", "text", *names).join(by_doc.hint("shuffle_hash"), "id", "left").withColumn("spans", F.coalesce("spans", no_span))
     schema = "".join(f"{c} {t}, " for c, t in both.dtypes if c == "id" or c in names)
     out = both.select("id", "j", "text", "spans", *names).mapInArrow(lambda it: _result(it, with_text, names), schema + "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
-    return out.select(F.when(F.col("id") != _NULL_ID, F.col("id")).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else []), *[F.col(f"carry_{c}") for c in carry])
+    return out.select(F.when(F.col("id") >= _NULL_ID // 2, F.col("id")).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else []), *[F.col(f"carry_{c}") for c in carry])
