@@ -5,7 +5,8 @@ Texts are cut into units: words with their inner punctuation, and runs of single
 DECAY to the span it covers, so inserted characters and gaps lower a match instead of breaking it. Landmarks are
 all units of the training sentences that a significance test finds typical of toxic texts; a unit's kernel row to them (of a unit at least twice as long as the landmark, its best window's), times the inverse root of the landmarks' own kernel
 matrix, is its Nyström feature vector. A text is as toxic as its most toxic unit, and the machine is trained that way:
-the hinge loss of each labelled text is taken at its highest unit. A logistic fit turns margins into scores.
+the hinge loss of each labelled text is taken at its highest unit. A logistic scale turns margins into scores; 0.5 is
+where the machine decides.
 """
 
 from __future__ import annotations
@@ -293,15 +294,13 @@ def train(texts: list[str], labels: list[int], rounds: int = 250, penalty: float
         move = 0.5 * g / np.sqrt(past)
         w, b = w * (1 - penalty) + move[:-1], b + move[-1]
     top, y = np.maximum.reduceat((phi @ w)[flat] + b, cut)[:n_texts], y[:n_texts]
-    # Logistic fit of the labels on the margins, by damped Newton steps.
-    a = np.array([1.0, 0.0])
-    x = np.c_[top, np.ones(len(top))]
+    # Logistic fit of the scale of the margins, by damped Newton steps; a margin of 0, where the machine decides, is 0.5.
+    a = 1.0
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ a, -30, 30)))
-        hess = x.T @ (x * (p * (1 - p))[:, None]) + 1e-3 * np.eye(2)
-        a += np.linalg.solve(hess, x.T @ (y - p) - 1e-3 * a)
+        p = 1 / (1 + np.exp(-np.clip(top * a, -30, 30)))
+        a += (top @ (y - p) - 1e-3 * a) / ((top * top) @ (p * (1 - p)) + 1e-3)
     model.beta, model.bias = (model.root @ w if best else w), b
-    model.scale, model.shift = max(float(a[0]), 1e-6), float(a[1])
+    model.scale = max(float(a), 1e-6)
     del phi, flat, owner, members, place, names
     trim()
     return model
