@@ -205,17 +205,17 @@ _KEPT: dict = {}
 def kept(key, make):
     """An object that a Python worker keeps between its tasks (a vocabulary, a model, a cache): one at a time."""
     if key not in _KEPT:
-        _KEPT.clear()
         trim()
         _KEPT[key] = make()
     return _KEPT[key]
 
 
 def trim() -> None:
-    """Give a Python worker's free memory back: it lives on after its task, beside other operators' tasks."""
+    """Give a Python worker's memory back: it lives on after its task, beside other operators' tasks."""
     import ctypes
     import gc
 
+    _KEPT.clear()
     _POWERS.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
