@@ -514,3 +514,62 @@ def test_pipeline_stages(spark):
             docs = spark.createDataFrame(kept, docs.schema)
         else:
             assert {r[0] for r in rows.select("doc_id").collect()} == ids
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import corpus_pipeline as C
+
+    rng = random.Random(12)
+    words = ["".join(rng.choice("aeiou" if k % 2 else "bcdfghklmnprstvwz") for k in range(rng.randint(3, 9))) for _ in range(3000)]
+    say = lambda n: rng.choices(words, k=n)
+    docs, toxic = {}, set()
+    for i in range(0, 260):
+        docs[i] = say(rng.randint(20, 60))
+    for i in range(260, 330):
+        docs[i] = [*say(30), rng.choice(["blockhead", "numbskull"]), *say(20)]
+        toxic.add(i)
+    base, passage, item = say(80), say(60), say(25)
+    for i in range(400, 420):  # near copies
+        docs[i] = list(base)
+        docs[i][rng.randrange(80)] = "changed"
+    for i in range(420, 440):  # a passage that many share
+        docs[i] = [*say(30), *passage, *say(30)]
+    for i in range(440, 450):  # benchmark text
+        docs[i] = [*say(20), *item[: rng.randint(10, 25)], *say(20)]
+    rows = [(i, " ".join(w), "en", "s", 0) for i, w in docs.items()] + [(900, None, None, None, None), (901, "", "en", "s", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, int(i in toxic)) for i in range(330)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    have = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    texts = {i: t for i, t, *_ in rows}
+
+    def step(k):
+        nonlocal have
+        out = C.STAGES[k][1](spark, have, str(tmp_path))
+        out.write.parquet(str(tmp_path / f"stage{k}"))
+        have = spark.read.parquet(str(tmp_path / f"stage{k}"))
+        return {r.doc_id: r.text for r in have.collect()}
+
+    texts = {i: t for i, t in texts.items() if i not in toxic}
+    assert step(0) == texts
+    bags = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, (t or "").split()) for i, t in texts.items())}
+    first = {}
+    for i in sorted(texts):
+        near = [j for j in first if bags[i] and bags[j] and 5 * len(bags[i] & bags[j]) >= 4 * len(bags[i] | bags[j])]
+        first[i] = min([first[j] for j in near], default=i)
+    texts = {i: t for i, t in texts.items() if first[i] == i}
+    assert {i: t or "" for i, t in step(1).items()} == {i: t or "" for i, t in texts.items()}
+    assert not {401, 402, 419} & set(texts) and 400 in texts
+    want = brute_repeats(list(texts.items()))
+    got = step(2)
+    assert {i: hashlib.sha256((t or "").encode()).hexdigest() for i, t in got.items()} == {i: v[3] for i, v in want.items() if v[0] != v[1] or not v[0]}
+    assert sum(v[1] > 0 for v in want.values()) >= 19
+    windows = {tuple(item[k : k + 10]) for k in range(16)}
+    left = {i: t for i, t in got.items() if not any(tuple((t or "").split()[k : k + 10]) in windows for k in range(len((t or "").split())))}
+    assert step(3) == left and len(left) < len(got)
+    pieces = C.STAGES[4][1](spark, have, str(tmp_path)).collect()
+    tok = Tokenizer.from_file(WORDS)
+    total = {i: len(tok.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in left.items()}
+    assert {p.doc_id: p.doc_tokens for p in pieces} == total and sum(p.length for p in pieces) == sum(total.values())
+    again = C.run(spark, str(tmp_path)).collect()
+    assert {p.doc_id: p.doc_tokens for p in again} == total
