@@ -58,21 +58,26 @@ def fit(counts: DataFrame, n: int, params: Params = Params()) -> DataFrame:
     return scratch(top.withColumn("idf", F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1), "vocabulary")
 
 
-def weights(counts: DataFrame, vocabulary: DataFrame, params: Params = Params()) -> DataFrame:
-    """(book_id, term, w) with rows of length 1; terms outside the vocabulary are ignored.
-
-    The vocabulary is broadcast: it has at most max_features terms.
-    """
+def _by_book(counts: DataFrame, vocabulary: DataFrame, params: Params) -> DataFrame:
+    """(book_id, v, size): each book's terms with raw weights, and their length. The vocabulary is broadcast: it has at
+    most max_features terms. A book's terms are bounded by its text."""
     tf = 1 + F.log("c") if params.sublinear else F.col("c").cast("double")
     raw = counts.join(F.broadcast(vocabulary.select("term", "idf")), "term").select("book_id", "term", (tf * F.col("idf")).alias("w"))
-    size = raw.groupBy("book_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
-    return raw.join(size, "book_id").select("book_id", "term", (F.col("w") / F.col("size")).alias("w"))
+    return raw.groupBy("book_id").agg(F.collect_list(F.struct("term", "w")).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
+
+
+def weights(counts: DataFrame, vocabulary: DataFrame, params: Params = Params()) -> DataFrame:
+    """(book_id, term, w) with rows of length 1; terms outside the vocabulary are ignored."""
+    one = _by_book(counts, vocabulary, params).select("book_id", "size", F.explode("v").alias("x"))
+    return one.select("book_id", F.col("x.term").alias("term"), (F.col("x.w") / F.col("size")).alias("w"))
 
 
 def vectors(words: DataFrame, counts: DataFrame, vocabulary: DataFrame, params: Params = Params()) -> DataFrame:
     """(book_id, ids, w) of every book, terms by their 64-bit hash; a book without terms has empty lists."""
-    rows = weights(counts, vocabulary, params).groupBy("book_id").agg(F.collect_list(F.struct(F.xxhash64("term").alias("i"), "w")).alias("v"))
-    return words.select("book_id").join(rows, "book_id", "left").select("book_id", F.coalesce("v.i", F.array().cast("array<long>")).alias("ids"), F.coalesce("v.w", F.array().cast("array<double>")).alias("w"))
+    one = _by_book(counts, vocabulary, params)
+    rows = one.select("book_id", F.transform("v", lambda x: F.xxhash64(x["term"])).alias("ids"), F.transform("v", lambda x: x["w"] / F.col("size")).alias("w"))
+    none = {"ids": F.array().cast("array<long>"), "w": F.array().cast("array<double>")}
+    return words.select("book_id").join(rows, "book_id", "left").select("book_id", *[F.coalesce(c, e).alias(c) for c, e in none.items()])
 
 
 def transform(books: DataFrame, vocabulary: DataFrame, params: Params = Params()) -> DataFrame:
