@@ -95,7 +95,7 @@ def model(codes: np.ndarray, counts: np.ndarray, scale: float, vocab: int = VOCA
 
 
 def differences(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(code, diff): target loss minus background loss, in bits, of every n-gram of counts (code, target, background)."""
+    """(code, diff, loss): target loss minus background loss, and background loss, in bits, of every n-gram of counts (code, target, background)."""
     total = counts.agg(F.sum("target"), F.sum("background")).first()
     scale = F.lit((total[0] or 0) / (total[1] or 1))
     tables = {order: counts}
@@ -114,26 +114,29 @@ def differences(counts: DataFrame, order: int = ORDER) -> DataFrame:
         pt = F.when(F.col("kt") > 0, (F.col("target") + F.col("kt") * F.col("lt")) / (F.col("mt") + F.col("kt"))).otherwise(F.col("lt"))
         pb = (F.col("background") * scale + F.col("kb") * F.col("lb")) / (F.col("mb") * scale + F.col("kb"))
         out = t.select("code", pt.alias("pt"), pb.alias("pb"))
-    return out.select("code", (F.log2("pb") - F.log2("pt")).alias("diff"))
+    return out.select("code", (F.log2("pb") - F.log2("pt")).alias("diff"), (-F.log2("pb")).alias("loss"))
 
 
 def _block_scores(docs: pa.Table, known: pa.Table) -> pa.Table:
     """Scores of a block's documents; known holds all of its n-grams."""
-    total = np.zeros(docs.num_rows)
+    total = {"diff": np.zeros(docs.num_rows), "loss": np.zeros(docs.num_rows)}
     raw, off = buffers(docs.column("text"))
     if len(raw):
-        codes, diff = known.column("code").to_numpy(), known.column("diff").to_numpy()
+        codes = known.column("code").to_numpy()
         order = np.argsort(codes)
-        codes, diff = codes[order], diff[order]
+        codes = codes[order]
         for lo, hi in chunks(off, _CHUNK):
             doc, code = grams(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], _BYTES, SYMBOLS)
-            total[lo:hi] = np.bincount(doc, weights=diff[np.searchsorted(codes, code)], minlength=hi - lo)
+            at = order[np.searchsorted(codes, code)]
+            for name, sums in total.items():
+                sums[lo:hi] = np.bincount(doc, weights=known.column(name).to_numpy()[at], minlength=hi - lo)
     n = np.diff(off)
-    return pa.table({"rid": docs.column("rid"), "n_tokens": pa.array(n), "ce_diff": pa.array(total / np.maximum(n, 1))})
+    diff, loss = (total[k] / np.maximum(n, 1) for k in ("diff", "loss"))
+    return pa.table({"rid": docs.column("rid"), "n_tokens": pa.array(n), "ce_diff": pa.array(diff), "target_loss": pa.array(loss + diff), "background_loss": pa.array(loss)})
 
 
 def cross_entropy_difference(docs: DataFrame, good: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ce_diff) per row; `good` holds the ids (column id_col) of the target documents.
+    """(id, n_tokens, ce_diff, target_loss, background_loss) per row, in bits a token; `good` holds the ids (column id_col) of the target documents.
 
     Counts cover every byte of every document, and the tables hold every n-gram that occurs, so what is gathered grows
     with the corpus. Null and empty texts score 0 with 0 tokens; without a target document both models are the
@@ -151,6 +154,6 @@ def cross_entropy_difference(docs: DataFrame, good: DataFrame, id_col: str = "do
     marks = good.select(F.col(id_col).cast(kind).alias("gid")).where(F.col("gid").isNotNull()).distinct().withColumn("block", block(F.col("gid").cast("string")))
     asked = scratch(table.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_block_counts, "block long, code long, target long, background long"), "grams")
     counts = scratch(asked.groupBy("code").agg(F.sum("target").alias("target"), F.sum("background").alias("background")), "counts")
-    known = asked.select("block", "code").join(differences(counts), "code").select("block", "code", "diff")
-    scored = table.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_block_scores, f"rid {kind}, n_tokens long, ce_diff double")
+    known = asked.select("block", "code").join(differences(counts), "code").select("block", "code", "diff", "loss")
+    scored = table.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_block_scores, f"rid {kind}, n_tokens long, ce_diff double, target_loss double, background_loss double")
     return scored.withColumnRenamed("rid", id_col)

@@ -400,6 +400,9 @@ def test_lm_scores_every_byte(spark):
     for d, s in enumerate(seqs):
         want = [np.log2(p(1, tuple(s[i - 3 : i + 1])) / p(0, tuple(s[i - 3 : i + 1]))) for i in range(3, len(s))]
         assert got[d].n_tokens == len(want) and got[d].ce_diff == pytest.approx(float(np.mean(want)) if want else 0, rel=1e-6, abs=1e-9)
+        for m, name in ((0, "target_loss"), (1, "background_loss")):
+            loss = [-np.log2(p(m, tuple(s[i - 3 : i + 1]))) for i in range(3, len(s))]
+            assert got[d][name] == pytest.approx(float(np.mean(loss)) if loss else 0, rel=1e-6, abs=1e-9)
     assert len(got) == len(texts)
 
 
