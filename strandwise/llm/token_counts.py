@@ -122,9 +122,11 @@ class PrefixCounter(dict):
         return t
 
     @staticmethod
-    def split(text: str) -> list[str]:
-        latin = text.isascii() or max(text) < "\u0100"
-        return (PIECES_LATIN if latin else PIECES).findall(text)
+    def pattern(text: str):
+        return PIECES_LATIN if text.isascii() or max(text) < "\u0100" else PIECES
+
+    def split(self, text: str) -> list[str]:
+        return self.pattern(text).findall(text)
 
     def count(self, text: str) -> int:
         """Tokens of the text: the last entries of its pieces' tables."""
@@ -159,8 +161,34 @@ class PrefixCounter(dict):
         return out
 
     def within(self, text: str, budget: int) -> int:
-        """Characters of the longest prefix of at most `budget` tokens (counts may fall as a prefix grows)."""
-        return max(np.flatnonzero(np.array(self.table(text)) <= budget), default=0)
+        """Characters of the longest prefix of at most `budget` tokens (counts may fall as a prefix grows).
+
+        Only the pieces through which the budget lasts are looked at: after a piece before which `budget` tokens stand,
+        and the white space that may follow, every prefix has more.
+        """
+        if SPECIAL in text:
+            return int(max(np.flatnonzero(np.array(self.table(text)) <= budget), default=0))
+        best = at = total = before = 0
+        last = ""
+        for m in self.pattern(text).finditer(text):
+            if before >= budget:
+                break
+            piece = m[0]
+            own = self[piece]
+            if total + own[-1] <= budget:
+                best = at + len(piece)
+            else:
+                best = max([best, *(at + i for i in range(1, len(own)) if total + own[i] <= budget)])
+            if last and _WHITE.match(piece) and _WHITE.fullmatch(last):
+                run = before + self[last + piece[0]][-1]
+                if run <= budget:
+                    best = max(best, at + 1)
+                elif best == at + 1:
+                    best = at if total <= budget else self.within(text[:at], budget)
+            at += len(piece)
+            before, last = total, piece
+            total += own[-1]
+        return best
 
 
 def counter(path: str) -> PrefixCounter:
@@ -178,7 +206,7 @@ def _count(batches, path, with_table, budget):
             if with_table:
                 tables.append(c.table(t))
             if budget is not None:
-                chars.append(len(t) if n[-1] <= budget else int(c.within(t, budget)))
+                chars.append(len(t) if n[-1] <= budget else c.within(t, budget))
                 heads.append(size[-1] if chars[-1] == len(t) else len(t[: chars[-1]].encode()))
         cols = [batch.column("rid"), pa.array(size, pa.int64()), pa.array(n, pa.int64())]
         names = ["rid", "n_bytes", "n_tokens"]
