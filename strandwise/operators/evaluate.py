@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..features.bundle import Tracks
 from ..runtime import scratch
-from . import rank, recommend, similarity
+from . import blocks, rank, recommend, similarity
 from .taxonomy import TAXONOMY
 
 
@@ -119,8 +119,10 @@ def evaluate(
 
 def seed_scores(tracks, seeds, settings, combos, igf, k=10, mmr=False, lam=0.95, space="semantic", ranked=None) -> DataFrame:
     """(g, seed, genre, yearflag) of each setting and seed."""
-    ranked = recommend.ranked_pairs(tracks, seeds) if ranked is None else ranked
-    if mmr:
+    if ranked is None and set(recommend.usable_spaces(space, tracks.counts()) if mmr else ()) <= set(blocks.SPACES):
+        picks = recommend.best(tracks, seeds, settings, k, mmr="reference" if mmr else None, lam=lam, space=space).select("g", "seed", "cand")
+    elif mmr:
+        ranked = recommend.ranked_pairs(tracks, seeds) if ranked is None else ranked
         ranked = scratch(ranked, "ranked")
         picks = None
         for g, w in enumerate(settings, 1):
