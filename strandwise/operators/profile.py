@@ -240,8 +240,9 @@ def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
         ranks = average_ranks(df, c).select(F.col("value").alias(f"_v{k}"), F.col("r").alias(f"_r{k}"))
         rows = rows.join(ranks, F.col(c) == F.col(f"_v{k}"), "left")
     pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
-    spread = {k: F.stddev_pop(f"_r{k}") for k in range(len(columns))}
-    row = rows.agg(*[(F.covar_pop(f"_r{i}", f"_r{j}") / F.nullif(spread[i] * spread[j], F.lit(0.0))).alias(f"p{i}_{j}") for i, j in pairs])
+    # merged partial aggregates of one value don't always give exactly 0
+    spread = {k: F.when(F.min(f"_r{k}") < F.max(f"_r{k}"), F.stddev_pop(f"_r{k}")) for k in range(len(columns))}
+    row = rows.agg(*[(F.covar_pop(f"_r{i}", f"_r{j}") / (spread[i] * spread[j])).alias(f"p{i}_{j}") for i, j in pairs])
     table = F.array(*[F.struct(F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b"), F.col(f"p{i}_{j}").alias("rho")) for i, j in pairs])
     return row.select(F.explode(table).alias("x")).select("x.*")
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandwise.functions import text as T
-from strandwise.operators import order, rank, resolve
+from strandwise.operators import order, profile, rank, resolve
 from strandwise.operators.similarity import TRACKS
 from strandwise.sources import books as B
 
@@ -158,3 +158,12 @@ def test_genre_cache(spark, tmp_path):
     df = spark.createDataFrame([(i, f"t{i}", "a", None, None, None, None, None) for i in range(5)], BOOKS)
     got = B.hydrate(df, cache, lambda t, a: ["x"] if t == "t2" else [], most=2).collect()
     assert {r.book_id for r in got} == {1, 2, 3} or {r.book_id for r in got} == {1, 3}
+
+
+@pytest.mark.parametrize("n", [28, 98, 200, 232])
+def test_spearman_of_a_constant_is_null(spark, n):
+    """Merged partial variances of a constant are a little above 0 for these numbers of rows."""
+    df = spark.range(0, n, 1, 2).select(F.col("id").cast("double").alias("a"), F.lit(2.0).alias("b"), (-F.col("id")).cast("double").alias("c"))
+    got = {(r.a, r.b): r.rho for r in profile.spearman(df, ["a", "b", "c"]).collect()}
+    assert got["a", "b"] is None and got["b", "c"] is None
+    assert got["a", "c"] == pytest.approx(-1)
