@@ -210,11 +210,25 @@ def kept(key, make):
     return _KEPT[key]
 
 
-def trim() -> None:
-    """Give a Python worker's memory back: it lives on after its task, beside other operators' tasks."""
+def resident() -> int:
+    """Bytes of memory that this process holds; without /proc more than any threshold."""
+    try:
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+    except OSError:
+        return 1 << 62
+
+
+def trim(above: int = 0) -> None:
+    """Give a Python worker's memory back: it lives on after its task, beside other operators' tasks.
+
+    A worker that holds less than `above` bytes has little to give; looking takes it longer than a small task does.
+    """
     import ctypes
     import gc
 
+    if resident() < above:
+        return
     _KEPT.clear()
     _POWERS.clear()
     gc.collect()

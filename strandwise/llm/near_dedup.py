@@ -19,6 +19,10 @@ _K = np.dtype([("key", "<u8"), ("u", "<i8")])
 _E = np.dtype([("u", "<i8"), ("v", "<i8"), ("n", "<i8")])
 #: Pairs with one text beyond which its partners are dealt to several tasks, each with a copy of that text.
 HOT = 128
+#: Bytes of a worker's memory below which a task leaves it as it is (a fresh one with its libraries holds about 115 MB).
+SMALL = 192 << 20
+#: Edges (16 bytes each) that the driver joins to components itself; more of them stay in tables.
+FEW = 1 << 16
 #: Points of Poisson processes drawn at once (bounds the memory of a task).
 POINTS = 1 << 20
 
@@ -109,7 +113,7 @@ def bag_minhash(doc: np.ndarray, h: np.ndarray, count: np.ndarray, n: int, m: in
 
 
 def _signatures(batches, width, bands, rows):
-    trim()
+    trim(SMALL)
     for batch in batches:
         raw, off = buffers(batch.column("text"))
         u = batch.column("u").to_numpy()
@@ -150,7 +154,7 @@ def _edges(x):
 
 
 def _local(batches, bands, n):
-    trim()
+    trim(SMALL)
     held, size = [], 0
 
     def flush():
@@ -201,7 +205,7 @@ def similarities(raw_a, off_a, raw_b, off_b, width: int) -> np.ndarray:
 
 
 def _verify(batches, width, least):
-    trim()
+    trim(SMALL)
     for batch in batches:
         (ra, oa), (rb, ob) = buffers(batch.column("text")), buffers(batch.column("text_v"))
         ok = np.zeros(batch.num_rows, bool)
@@ -275,7 +279,7 @@ def joining_links(linked: np.ndarray, root: np.ndarray) -> list[tuple[int, int]]
 
 def _cells(batches, width, least):
     """Rows sorted by cell; a cell may go on in the next batch."""
-    trim()
+    trim(SMALL)
     rest = None
 
     def links_of(t):
@@ -373,13 +377,35 @@ def verified(table: DataFrame, pairs: DataFrame, width: int, least: float) -> Da
 def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     """(u, root) after joining the classes of `roots` by the links (u, v) between its members."""
     e = links.join(roots, "u").select("v", F.col("root").alias("a")).join(roots.withColumnRenamed("u", "v"), "v").where("a != root")
-    e = scratch(e.select(F.col("a").alias("u"), F.col("root").alias("v")).distinct(), "between")
-    if e.isEmpty():
+    e = scratch(e.select(F.col("a").alias("u"), F.col("root").alias("v")), "between")
+    n = e.count()
+    if not n:
         return roots
-    to = components(e).select(F.col("u").alias("root"), F.col("root").alias("to"))
+    to = (few_components(e) if n <= FEW else components(e)).select(F.col("u").alias("root"), F.col("root").alias("to"))
     return scratch(roots.join(to, "root", "left").select("u", F.coalesce("to", "root").alias("root")), "roots")
 
 
+def smallest_reached(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(vertices, the smallest vertex that each one reaches over the edges u[i] - v[i])."""
+    names, at = np.unique(np.r_[u, v], return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(names))
+    while (root[a] != root[b]).any():
+        low = np.arange(len(names))
+        np.minimum.at(low, np.maximum(root[a], root[b]), np.minimum(root[a], root[b]))
+        while (low[low] != low).any():
+            low = low[low]
+        root = low[root]
+    return names, names[root]
+
+
+def few_components(edges: DataFrame) -> DataFrame:
+    """components() of at most FEW edges, worked out by the driver: rounds over small tables take long for what they do."""
+    t = edges.select("u", "v").toArrow()
+    u, root = smallest_reached(*(t.column(c).to_numpy() for c in ("u", "v")))
+    return edges.sparkSession.createDataFrame(pa.table({"u": u, "root": root}))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(u, root) of every vertex: the smallest vertex reached over the edges (u, v).
 
@@ -431,15 +457,18 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5, id_col:
     signed = scratch(one.mapInArrow(lambda it: _signatures(it, width, BANDS, ROWS), "u long, keys binary, size long"), "signatures")
     release(spark)
     pairs = signed.repartition(n, "u").mapInArrow(lambda it: _local(it, BANDS, n), "bucket int, kind int, data binary")
-    pairs = pairs.repartitionById(n, "bucket").mapInArrow(_global, "u long, v long, n long").groupBy("u", "v").agg(F.sum("n").alias("n"))
-    pairs = scratch(pairs, "pairs")
+    pairs = pairs.repartitionById(n, "bucket").mapInArrow(_global, "u long, v long, n long")
+    # A text has BANDS partners at most: they move once, to their text, which also finds the one met in most buckets.
+    pairs = pairs.repartition(n, "u").groupBy("u", "v").agg(F.sum("n").alias("n"))
+    pairs = pairs.groupBy("u").agg(F.expr("max_by(v, struct(n, -v))").alias("first"), F.collect_list("v").alias("v"))
+    pairs = scratch(pairs.select("u", "first", F.explode("v").alias("v")).select("u", "v", F.expr("v = first").alias("likely")), "pairs")
     release(spark)
     # First each text with the one it meets in most buckets; then, of all other pairs, those still in different classes.
-    likely = scratch(pairs.groupBy("u").agg(F.expr("max_by(v, struct(n, -v))").alias("v")), "likely")
+    likely = pairs.where("likely").select("u", "v")
     alone = scratch(pairs.select("u").union(pairs.select("v")).distinct().select("u", F.col("u").alias("root")), "roots")
     roots = joined(alone, verified(table, likely, width, least))
-    apart = pairs.select("u", "v").join(roots, "u").join(roots.select(F.col("u").alias("v"), F.col("root").alias("root_v")), "v").where("root != root_v")
-    apart = scratch(apart.select("u", "v").join(likely, ["u", "v"], "left_anti"), "apart")
+    apart = pairs.where("NOT likely").select("u", "v").join(roots, "u").join(roots.select(F.col("u").alias("v"), F.col("root").alias("root_v")), "v").where("root != root_v")
+    apart = scratch(apart.select("u", "v"), "apart")
     roots = joined(roots, verified(table, apart, width, least))
     rest = remaining_links(table, signed, pairs, roots, n, width, least)
     if rest is not None:

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from strandwise.llm import decontaminate, html_text, lm_scoring, near_dedup, packing, sharding, suffix_dedup, token_counts, toxicity, webp
+from strandwise.llm import common, decontaminate, html_text, lm_scoring, near_dedup, packing, sharding, suffix_dedup, token_counts, toxicity, webp
 from strandwise.llm.common import buffers
 
 SF = "/root/testdata/sf0.001"
@@ -281,6 +281,43 @@ def test_near_duplicates(spark):
     assert sum(r.keep for r in got) == len(want)
 
 
+@pytest.mark.parametrize("few", [1 << 16, 0])
+def test_few_edges_are_joined_without_rounds(spark, monkeypatch, few):
+    # Chains, stars and pairs; the rounds over tables take a dozen jobs at least, the driver a few.
+    rng = random.Random(3)
+    at = list(range(1, 400))
+    rng.shuffle(at)
+    links = [(a, b) for a, b in zip(at[:200], at[1:200], strict=False)] + [(at[200], x) for x in at[201:300]] + [(a, b) for a, b in zip(at[300::2], at[301::2], strict=False)] + [(at[0], at[5])]
+    low = {x: x for x in range(400)}
+    for a, b in links * 400:
+        if low[a] == low[b]:
+            continue
+        x, y = sorted((low[a], low[b]))
+        low = {k: x if v == y else v for k, v in low.items()}
+    want = dict(low)
+    names, root = near_dedup.smallest_reached(*np.array(links).T)
+    assert {int(k): int(v) for k, v in zip(names, root, strict=True)} == {k: v for k, v in want.items() if any(k in e for e in links)}
+    monkeypatch.setattr(near_dedup, "FEW", few)
+    rounds = []
+    monkeypatch.setattr(near_dedup, "components", lambda e, f=near_dedup.components: rounds.append(1) or f(e))
+    roots = spark.range(400).selectExpr("id AS u", "id AS root")
+    got = near_dedup.joined(roots, spark.createDataFrame(links, "u long, v long"))
+    assert {r.u: r.root for r in got.collect()} == want
+    assert len(rounds) == (not few)
+    none = near_dedup.joined(roots, spark.createDataFrame([], "u long, v long"))
+    assert all(r.u == r.root for r in none.collect()) and none.count() == 400
+
+
+def test_small_workers_are_left_alone(monkeypatch):
+    # Looking for garbage takes a worker longer than a small task does.
+    looked = []
+    monkeypatch.setattr("gc.collect", lambda *a: looked.append(1))
+    common.trim(1 << 60)
+    assert not looked
+    common.trim()
+    assert looked
+
+
 def test_bag_minhash_estimates_weighted_jaccard():
     a, b = {k: 1 + k % 7 for k in range(100)}, {k: 1 + 3 * k % 5 for k in range(30, 120)}
     want = sum(min(a.get(k, 0), b.get(k, 0)) for k in range(120)) / sum(max(a.get(k, 0), b.get(k, 0)) for k in range(120))
