@@ -224,3 +224,11 @@ def test_settings_of_one_track_without_moving_scores(spark, monkeypatch):
     ranked = moved_seeds(monkeypatch, 20)
     assert in_order(recommend.best(t, s, settings, 2)) == want
     assert not ranked
+
+
+def test_weights_by_candidate_without_moving_scores(spark, monkeypatch):
+    t, s = catalog.tracks(spark, "/root/testdata/sf0.01"), catalog.seeds(spark, "/root/testdata/sf0.01")
+    want = in_order(recommend.best(t, s, [rank.DEFAULT_WEIGHTS], 5, per_candidate=True))
+    ranked = moved_seeds(monkeypatch, 100)
+    assert in_order(recommend.best(t, s, [rank.DEFAULT_WEIGHTS], 5, per_candidate=True)) == want
+    assert len(ranked) < 5
