@@ -109,23 +109,26 @@ def fine_sweep(best: dict[str, float], step: float = 0.05) -> list[dict[str, flo
 
 def evaluate(
     tracks: Tracks, seeds: DataFrame, settings: list[dict[str, float]], combos: DataFrame, igf: DataFrame | None, k: int = 10, mmr: bool = False, lam: float = 0.95, space: str = "semantic",
-    genre_weight: float = 0.8, year_weight: float = 0.2, ranked: DataFrame | None = None,
+    genre_weight: float = 0.8, year_weight: float = 0.2, ranked: DataFrame | None = None, plain: bool = False,
 ) -> DataFrame:
-    """(g, genre, yearflag, score): means over the seeds for each setting 1, 2, ... Scores and percentiles are worked out once."""
-    hits = seed_scores(tracks, seeds, settings, combos, igf, k, mmr, lam, space, ranked)
+    """(g, genre, yearflag, score): means over the seeds for each setting 1, 2, ... Scores and percentiles are worked out once.
+
+    plain: first those of all settings without re-ranking, then, numbered on, those with it.
+    """
+    hits = seed_scores(tracks, seeds, settings, combos, igf, k, mmr, lam, space, ranked, plain)
     means = hits.groupBy("g").agg(F.avg("genre").alias("genre"), F.avg("yearflag").alias("yearflag"))
     return means.withColumn("score", F.lit(genre_weight) * F.col("genre") + F.lit(year_weight) * F.col("yearflag"))
 
 
-def seed_scores(tracks, seeds, settings, combos, igf, k=10, mmr=False, lam=0.95, space="semantic", ranked=None) -> DataFrame:
+def seed_scores(tracks, seeds, settings, combos, igf, k=10, mmr=False, lam=0.95, space="semantic", ranked=None, plain=False) -> DataFrame:
     """(g, seed, genre, yearflag) of each setting and seed."""
     if ranked is None and set(recommend.usable_spaces(space, tracks.counts()) if mmr else ()) <= set(blocks.SPACES):
-        picks = recommend.best(tracks, seeds, settings, k, mmr="reference" if mmr else None, lam=lam, space=space).select("g", "seed", "cand")
+        picks = recommend.best(tracks, seeds, settings, k, mmr="reference" if mmr else None, lam=lam, space=space, plain=plain and mmr).select("g", "seed", "cand")
     elif mmr:
         ranked = recommend.ranked_pairs(tracks, seeds) if ranked is None else ranked
         ranked = scratch(ranked, "ranked")
-        picks = None
-        for g, w in enumerate(settings, 1):
+        picks = rank.top_fused(ranked, settings, k).select("g", "seed", "cand") if plain else None
+        for g, w in enumerate(settings, 1 + len(settings) * plain):
             one = recommend.recommend(tracks, seeds, recommend.Options(weights=w, k=k, mmr_lambda=lam, mmr_space=space, caps=None), ranked)
             one = one.select(F.lit(g).alias("g"), "seed", "cand")
             picks = one if picks is None else picks.unionByName(one)

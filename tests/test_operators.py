@@ -232,3 +232,16 @@ def test_weights_by_candidate_without_moving_scores(spark, monkeypatch):
     ranked = moved_seeds(monkeypatch, 100)
     assert in_order(recommend.best(t, s, [rank.DEFAULT_WEIGHTS], 5, per_candidate=True)) == want
     assert len(ranked) < 5
+
+
+@pytest.mark.parametrize("mode, lam, space, digits, few", [("reference", 0.95, "semantic", None, 0), ("standard", 0.9, "numerics|authors", 9, 0), ("reference", 0.95, "semantic", 9, 1)])
+def test_reranking_without_moving_scores(spark, monkeypatch, mode, lam, space, digits, few):
+    """Plain and re-ranked picks of one pass are those of two runs over all scores; few: rows ranked for each one asked for."""
+    t, s = catalog.tracks(spark, "/root/testdata/sf0.01"), catalog.seeds(spark, "/root/testdata/sf0.01")
+    weights = [rank.DEFAULT_WEIGHTS]
+    off, on = recommend.best(t, s, weights, 4), recommend.best(t, s, weights, 4, mmr=mode, lam=lam, space=space, digits=digits)
+    want = in_order(off.unionByName(on.withColumn("g", F.col("g") + 1)))
+    ranked = moved_seeds(monkeypatch, 100)
+    monkeypatch.setattr(blocks, "SPARE_MMR", few or 64)
+    assert in_order(recommend.best(t, s, weights, 4, mmr=mode, lam=lam, space=space, digits=digits, plain=True)) == want
+    assert ranked if few else len(ranked) < 5
